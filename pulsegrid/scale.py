@@ -42,12 +42,12 @@ def _window(keys):
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence, specs: dict[str, tuple[str, Column]],
          limit: int | None = None) -> DataFrame:
     """Inclusive running values per key in order; ``specs`` maps a new column to
-    ``("sum" | "last" | "max", column)``.  "last" skips nulls."""
+    ``("sum" | "last" | "max" | "min", column)``.  "last" skips nulls."""
     limit = GROUP_LIMIT if limit is None else limit
     keys, order = list(keys), list(order)
 
     def running(kind, c, w):
-        return {"sum": F.sum(c), "last": F.last(c, ignorenulls=True), "max": F.max(c)}[kind].over(w)
+        return {"sum": F.sum(c), "last": F.last(c, ignorenulls=True), "max": F.max(c), "min": F.min(c)}[kind].over(w)
 
     if largest_group(df, keys) <= limit:
         w = _window(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -63,7 +63,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence, specs: dict[str, t
 
     def total(kind, n):
         c = F.col(tmp[n])
-        return {"sum": F.sum(c), "max": F.max(c),
+        return {"sum": F.sum(c), "max": F.max(c), "min": F.min(c),
                 "last": F.max_by(c, F.when(c.isNotNull(), F.col("__at")))}[kind].alias(tmp[n])
 
     parts = ranged.groupBy(*keys, "__part").agg(*[total(k, n) for n, (k, _) in specs.items()])
@@ -83,7 +83,9 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence, specs: dict[str, t
         past = F.col(f"c.__carry_{n}")
         if kind == "sum":
             return F.when(past.isNull(), here).when(here.isNull(), past).otherwise(past + here)
-        return F.greatest(past, here) if kind == "max" else F.coalesce(here, past)
+        return {"max": lambda: F.when(past.isNull() | (here > past), here).otherwise(past),
+                "min": lambda: F.when(past.isNull() | (here < past), here).otherwise(past),
+                "last": lambda: F.coalesce(here, past)}[kind]()
 
     return (ranged.alias("r").join(carry.alias("c"), cond, "left")
             .select(*[F.col(f"r.{c}").alias(c) for c in cols],
@@ -230,7 +232,8 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     biggest = largest_group(df, keys)
     if biggest > limit:
         slices = -(-biggest // limit)
-        sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*df.columns), F.lit(slices)))
+        plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*plain), F.lit(slices)))
         w = Window.partitionBy(*keys, "__slice").orderBy(*order)
         df = sliced.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n) \
             .drop("__r", "__slice")
