@@ -11,24 +11,33 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.scale import GROUP_LIMIT, positions
+from pulsegrid.operators import kernels
+from pulsegrid.scale import BROADCAST_ROWS, GROUP_LIMIT, positions
 from pulsegrid.session import cut
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Connected components as (node, component): the smallest node of each.
 
     Alternates the large-star and small-star steps, which need a number of rounds
-    logarithmic in the graph's size."""
+    logarithmic in the graph's size.  A graph of at most ``bound`` edges is solved in one
+    task."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def mark(d):
-        return d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        return tuple(d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     seen = mark(e)
-    while True:
+    if seen[0] <= bound:
+        def solve(pdf):
+            found = kernels.union_find(zip(pdf["u"], pdf["v"]))
+            return pd.DataFrame({"u": list(found), "v": list(found.values())}).astype("int64")
+
+        e = e.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(solve, "u long, v long")
+    while seen[0] > bound:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -80,10 +89,10 @@ def _shift(cell, offsets) -> Column:
     return F.array(*[F.array(*[F.get(cell, F.lit(i)) + F.lit(v) for i, v in enumerate(o)]) for o in offsets])
 
 
-def _linked_cells(dense: DataFrame, points: DataFrame, side: float, eps2: float, d: int, levels: int = 30) -> DataFrame:
+def _linked_cells(dense: DataFrame, points: DataFrame, side: float, eps2: float, d: int, levels: int = 15) -> DataFrame:
     """Pairs (a, b) of neighbouring dense cells that have two points within eps.
 
-    Boxes around the points decide most pairs; the rest is decided by halving the cells
+    Boxes around the points decide most pairs; the rest is decided by quartering the cells
     again and again, keeping only box pairs that are still open."""
     half = [o for o in _offsets(d) if o > tuple([0] * d)]
     left = dense.select(F.col("node").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"),
@@ -100,9 +109,9 @@ def _linked_cells(dense: DataFrame, points: DataFrame, side: float, eps2: float,
         if open_.isEmpty():
             return found.distinct()
         cells = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
-        sub = F.transform("x", lambda v: F.floor(v / (side / 2 ** level)))
+        sub = F.transform("x", lambda v: F.floor(v / (side / 4 ** level)))
         subs = points.join(cells, "node", "left_semi").withColumn("sub", sub).groupBy("node", "sub").agg(*_box(d)) \
-            .withColumn("up", F.transform("sub", lambda v: F.shiftright(v, 1)))
+            .withColumn("up", F.transform("sub", lambda v: F.shiftright(v, 2)))
 
         def side_of(p):
             return subs.select(F.col("node").alias(p), F.col("up").alias(f"{p}sub"), F.col("sub").alias(f"{p}new"),
@@ -114,7 +123,7 @@ def _linked_cells(dense: DataFrame, points: DataFrame, side: float, eps2: float,
         else:
             grown = narrow.join(side_of("a"), ["a", "asub"]).join(side_of("b"), ["b", "bsub"])
         pairs = grown.select("a", "b", "alo", "ahi", "blo", "bhi", F.col("anew").alias("asub"), F.col("bnew").alias("bsub"))
-    # boxes this small hold points that differ by less than eps / 2**levels
+    # boxes this small hold points that differ by less than eps / 4**levels
     last = pairs.where(_box_gap2(*boxes) <= eps2).select("a", "b")
     return found.unionByName(last).distinct()
 

@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pulsegrid.functions.scalars import calendar, future_grid, growth_band
-from pulsegrid.operators import stats
+from pulsegrid.operators import kernels, stats
 from pulsegrid.operators.forest import anomaly_intervals
 from pulsegrid.operators.joins import lag_at
 from pulsegrid.operators.predicates import ffill
@@ -79,7 +79,6 @@ def sequence_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     seqs = positions(sequences(d, keys, order, "s", lookback, limit), keys, [F.col(o) for o in order], "__at", limit)
     n = seqs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     seqs = seqs.join(n, keys).withColumn("__train", F.col("__at") < F.floor(F.col("__n") * 0.8))
-    size = lookback + 1
     sums = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("slot", T.IntegerType()), T.StructField("rows", T.LongType()),
         T.StructField("a", T.ArrayType(T.DoubleType())), T.StructField("b", T.ArrayType(T.DoubleType()))])
@@ -88,10 +87,9 @@ def sequence_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         acc: dict = {}
         for pdf in batches:
             for k, g in pdf.groupby(keys, sort=False):
-                w = np.c_[np.array(g["window"].tolist(), dtype=float), np.ones(len(g))]
-                y = g["target"].to_numpy(dtype=float)
+                more_a, more_b = kernels.normal_sums(g["window"].tolist(), g["target"])
                 a, b, c = acc.get(k, (0.0, 0.0, 0))
-                acc[k] = (a + w.T @ w, b + w.T @ y, c + len(g))
+                acc[k] = (a + more_a, b + more_b, c + len(g))
         from pyspark import TaskContext
         slot = TaskContext.get().partitionId() % slots
         for k, (a, b, c) in acc.items():
@@ -111,9 +109,8 @@ def sequence_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         row = add(pdf)
         if int(row["rows"].iloc[0]) < min_train:
             return pd.DataFrame(columns=[f.name for f in model_schema.fields])
-        a = np.asarray(row["a"].iloc[0]).reshape(size, size)
-        w = np.linalg.solve(a + ridge * np.eye(size), np.asarray(row["b"].iloc[0]))
-        row["w"] = pd.Series([w.tolist()], index=row.index)
+        w = kernels.solve_normal(row["a"].iloc[0], row["b"].iloc[0], ridge)
+        row["w"] = pd.Series([w], index=row.index)
         return row[[f.name for f in model_schema.fields]]
 
     partial = seqs.where("__train").select(*keys, "window", "target").mapInPandas(equations, sums)

@@ -12,14 +12,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from pulsegrid.operators import kernels
 from pulsegrid.operators.aggregates import resample, value_at_rank
+from pulsegrid.operators.kernels import SAMPLE
 from pulsegrid.operators.predicates import ffill
 from pulsegrid.operators.stats import standard_scale
 from pulsegrid.operators.windows import anomaly_islands
 from pulsegrid.scale import GROUP_LIMIT, largest_group
-from pulsegrid.session import cut
+from pulsegrid.session import cut, spread
 
-SAMPLE = 256
 BROADCAST_KEYS = 32  # forests of this many keys stay under about 100 MB
 
 TREE = "tree INT, feature ARRAY<INT>, cut ARRAY<DOUBLE>, low ARRAY<INT>, high ARRAY<INT>, path ARRAY<DOUBLE>, drawn INT"
@@ -29,62 +30,6 @@ def _rows() -> Column:
     return F.count(F.lit(1))
 
 
-def expected_path(n) -> np.ndarray:
-    """Mean depth of an unsuccessful search among n points."""
-    n = np.asarray(n, dtype=float)
-    out = np.zeros_like(n)
-    out[n == 2] = 1.0
-    big = n > 2
-    out[big] = 2 * (np.log(n[big] - 1) + np.euler_gamma) - 2 * (n[big] - 1) / n[big]
-    return out
-
-
-def grow(x: np.ndarray, rng: np.random.Generator) -> tuple[list, list, list, list, list]:
-    """One isolation tree over the rows of ``x`` as parallel node arrays."""
-    limit = int(np.ceil(np.log2(max(len(x), 2))))
-    feature, split, low, high, path = [], [], [], [], []
-    todo = [(np.arange(len(x)), 0, -1, False)]
-    while todo:
-        at, depth, parent, is_high = todo.pop()
-        node = len(feature)
-        if parent >= 0:
-            (high if is_high else low)[parent] = node
-        lo, hi = x[at].min(axis=0), x[at].max(axis=0)
-        usable = np.flatnonzero(hi > lo)
-        leaf = depth >= limit or len(at) <= 1 or not len(usable)
-        f = -1 if leaf else int(rng.choice(usable))
-        c = 0.0 if leaf else float(rng.uniform(lo[f], hi[f]))
-        if not leaf and c >= hi[f]:  # bounds so close that the draw rounds up
-            c = float(lo[f])
-        feature.append(f)
-        split.append(c)
-        low.append(-1)
-        high.append(-1)
-        path.append(depth + float(expected_path([len(at)])[0]) if leaf else 0.0)
-        if not leaf:
-            below = x[at, f] <= c
-            todo += [(at[~below], depth + 1, node, True), (at[below], depth + 1, node, False)]
-    return feature, split, low, high, path
-
-
-def mean_path(x: np.ndarray, trees: Sequence[tuple]) -> np.ndarray:
-    """Mean leaf path of every row over the trees."""
-    total = np.zeros(len(x))
-    for feature, split, low, high, path in trees:
-        feature, split, low, high, path = map(np.asarray, (feature, split, low, high, path))
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            f = feature[node]
-            live = np.flatnonzero(f >= 0)
-            if not len(live):
-                break
-            n = node[live]
-            goes_low = x[live, f[live]] <= split[n]
-            node[live] = np.where(goes_low, low[n], high[n])
-        total += path[node]
-    return total / len(trees)
-
-
 def fit_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id: Sequence[str], trees: int = 100,
                seed: int = 42) -> DataFrame:
     """One row per key and tree.  A row enters a tree's draw when its hash is small enough
@@ -98,9 +43,9 @@ def fit_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id: Sequ
         return F.pmod(F.xxhash64(*[F.col(c) for c in id], t, F.lit(seed)), F.lit(span))
 
     drawn = (df.select(*keys, *cols, *[c for c in id if c not in keys + cols]).join(n, keys)
-             .withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                                                    lambda t: (F.col("__n") <= 2 * SAMPLE) | (ticket(t) < odds))))
-             .withColumn("__h", ticket(F.col("tree"))))
+             .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+             .withColumn("__h", ticket(F.col("tree")))
+             .where((F.col("__n") <= 2 * SAMPLE) | (F.col("__h") < odds)))
     w = Window.partitionBy(*keys, "tree").orderBy("__h", *id)
     sample = drawn.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= SAMPLE)
     out = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(TREE).fields)
@@ -109,7 +54,7 @@ def fit_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id: Sequ
         pdf = pdf.sort_values("__r")
         x = pdf[cols].to_numpy(dtype=float)
         tree = int(pdf["tree"].iloc[0])
-        f, c, lo, hi, path = grow(x, np.random.default_rng([seed, tree, len(x)]))
+        f, c, lo, hi, path = kernels.grow(x, np.random.default_rng([seed, tree, len(x)]))
         row = pdf[keys].iloc[[0]].copy()
         for name, v in (("tree", tree), ("drawn", len(x))):
             row[name] = v
@@ -117,12 +62,7 @@ def fit_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id: Sequ
             row[name] = pd.Series([v], index=row.index)
         return row[[x.name for x in out.fields]]
 
-    return sample.groupBy(*keys, "tree").applyInPandas(fit, out)
-
-
-def _as_trees(forest: pd.DataFrame):
-    trees = [(r.feature, r.cut, r.low, r.high, r.path) for r in forest.sort_values("tree").itertuples()]
-    return trees, float(expected_path([max(int(forest["drawn"].max()), 2)])[0])
+    return spread(sample, *keys, "tree").groupBy(*keys, "tree").applyInPandas(fit, out)
 
 
 def score_forest(df: DataFrame, forest: DataFrame, keys: Sequence[str], cols: Sequence[str],
@@ -136,12 +76,10 @@ def score_forest(df: DataFrame, forest: DataFrame, keys: Sequence[str], cols: Se
     schema = T.StructType(df.schema.fields + [T.StructField("score", T.DoubleType())])
 
     def score(pdf, model):
-        trees, norm = model
-        x = pdf[cols].to_numpy(dtype=float)
-        return pdf.assign(score=-np.exp2(-mean_path(x, trees) / norm))
+        return pdf.assign(score=kernels.score(pdf[cols].to_numpy(dtype=float), model))
 
     if len(forest.select(*keys).distinct().take(broadcast_keys + 1)) <= broadcast_keys:
-        models = {k if isinstance(k, tuple) else (k,): _as_trees(g) for k, g in forest.toPandas().groupby(keys, dropna=False)}
+        models = {k if isinstance(k, tuple) else (k,): kernels.as_trees(list(g.sort_values("tree").itertuples())) for k, g in forest.toPandas().groupby(keys, dropna=False)}
         shared = df.sparkSession.sparkContext.broadcast(models)
 
         def run(batches):
@@ -163,7 +101,7 @@ def score_forest(df: DataFrame, forest: DataFrame, keys: Sequence[str], cols: Se
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=[f.name for f in schema.fields])
-        return score(left.drop(columns="__slice"), _as_trees(right))[[f.name for f in schema.fields]]
+        return score(left.drop(columns="__slice"), kernels.as_trees(list(right.sort_values("tree").itertuples())))[[f.name for f in schema.fields]]
 
     on = keys + ["__slice"]
     return sliced.groupBy(*on).cogroup(copies.groupBy(*on)).applyInPandas(meet, schema)

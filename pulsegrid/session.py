@@ -55,9 +55,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df):
-    """Materialise ``df`` reliably, so that later branches all see the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder, so that lost executors cost no
+    lineage and later branches all see the same rows.
+
+    A written table is computed once, where an eager checkpoint computes its last stage
+    twice, and it keeps column pruning for the branches."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *cols):
+    """Hash-partition by ``cols`` without letting AQE merge the partitions: for small
+    inputs to heavy Python work, whose cost does not show in their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
