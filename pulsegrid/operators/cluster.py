@@ -138,9 +138,11 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
         raise ValueError("reduce to at most four columns first: neighbour cells grow exponentially")
     limit = GROUP_LIMIT if limit is None else limit
     side, eps2 = eps / math.sqrt(d), eps * eps
-    x = F.array(*[F.col(c).cast("double") for c in cols])
+    inner_cols = [f"__d{i}" for i in range(d)]
+    x = F.array(*[F.col(c).cast("double") for c in inner_cols])
     # equal points count together
-    pts = df.dropna(subset=cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("w")).withColumn("x", x) \
+    pts = df.dropna(subset=cols).groupBy(*[F.col(c).alias(i) for c, i in zip(cols, inner_cols)]) \
+        .agg(F.count(F.lit(1)).alias("w")).withColumn("x", x) \
         .withColumn("cell", F.transform("x", lambda v: F.floor(v / side)))
     pts = cut(pts.withColumn("pid", F.monotonically_increasing_id()))
     cells = cut(pts.groupBy("cell").agg(F.sum("w").alias("cw"), F.count(F.lit(1)).alias("members"),
@@ -174,8 +176,8 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     inner = full.join(comp, "node").select("pid", "cluster", F.lit(True).alias("is_core"))
     border = to_core.join(core, "pid", "left_anti").join(comp, F.col("to") == F.col("node")) \
         .groupBy("pid").agg(F.min("cluster").alias("cluster")).withColumn("is_core", F.lit(False))
-    labels = full.select("pid", *cols).join(inner.unionByName(border), "pid", "left").select(
-        *cols, F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    labels = full.select("pid", *inner_cols).join(inner.unionByName(border), "pid", "left").select(
+        *[F.col(i).alias(c) for c, i in zip(cols, inner_cols)], F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
     return df.join(labels, cols)
 
 

@@ -105,7 +105,7 @@ def _(t):
         F.floor(F.col("s_suppkey") / 200).alias("g"))
 
     def documents(d, head, tail):
-        return d.groupBy("g").agg(F.concat(F.lit(head), F.array_join(F.collect_list("j"), ","), F.lit(tail)).alias("value"))
+        return d.groupBy("g").agg(F.concat(F.lit(head), F.array_join(F.collect_list("j"), ",\n"), F.lit(tail)).alias("value"))
 
     docs = documents(c, "[", "]").unionByName(documents(s, '{"meta":{},"data":[', "]}"))
     # one document per file, as the controller writes them

@@ -104,7 +104,7 @@ def split_export(col) -> Column:
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Export files, each one JSON document, to one row per record in ``data``."""
-    return (spark.read.option("wholetext", True).text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.explode(split_export("value")).alias("data")))
 
 
