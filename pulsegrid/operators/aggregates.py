@@ -27,10 +27,15 @@ def rows() -> Column:
 def value_at_rank(df: DataFrame, keys: Sequence[str], col: str, picks: dict, limit: int | None = None) -> DataFrame:
     """Values at exact ranks per key: ``picks`` maps a name to ``fn(n) -> [zero-based ranks]``,
     whose mean is taken."""
+    keys = list(keys)
     d = df.where(F.col(col).isNotNull()).select(*keys, col)
-    ranked = positions(d, keys, [F.col(col)], "__pos", limit)
     n = d.groupBy(*keys).agg(rows().alias("__n"))
-    hit = ranked.join(n, list(keys))
+    if (n.agg(F.max("__n")).first()[0] or 0) <= (GROUP_LIMIT if limit is None else limit):
+        w = Window.partitionBy(*keys)
+        hit = d.select(*keys, col, rows().over(w).alias("__n"),
+                       (F.row_number().over(w.orderBy(col)) - 1).cast("long").alias("__pos"))
+    else:
+        hit = positions(d, keys, [F.col(col)], "__pos", limit).join(n, keys)
     return hit.groupBy(*keys).agg(*[
         F.avg(F.when(F.array_contains(F.array(*fn(F.col("__n"))), F.col("__pos")), F.col(col))).alias(name)
         for name, fn in picks.items()])

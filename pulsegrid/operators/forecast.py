@@ -24,8 +24,8 @@ FEATURES = ("hour", "day_of_week", "is_weekend", "rolling_mean", "rolling_std",
 def forecast_features(df: DataFrame, target: str, ts: str = "ts", limit: int | None = None) -> DataFrame:
     """Calendar, rolling and exact-lag features of one series; incomplete rows drop."""
     d = df.dropna(subset=[target]).select(ts, F.col(target).cast("double").alias("y")).withColumn("__all", F.lit(0))
-    d = rolling(d, ["__all"], ts, "y", 6 * 3600, ["mean", "std"], limit=limit)
-    d = rolling(d, ["__all"], ts, "y", 24 * 3600, ["mean"], "day", limit)
+    d = rolling(d, ["__all"], ts, "y", 6 * 3600, ["mean", "std"])
+    d = rolling(d, ["__all"], ts, "y", 24 * 3600, ["mean"], "day")
     d = lag_at(d, ["__all"], ts, "y", 3600, "lag_1h", limit)
     d = lag_at(d, ["__all"], ts, "y", 6 * 3600, "lag_6h", limit)
     return calendar(d, ts).dropna(subset=list(FEATURES))

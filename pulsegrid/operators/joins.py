@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.scalars import metric_family, short_id
-from pulsegrid.scale import over_range, positions, scan, small
+from pulsegrid.scale import BROADCAST_ROWS, over_range, positions, scan, small
 from pulsegrid.session import cut
 
 
@@ -58,13 +59,13 @@ def with_agg_rule(samples: DataFrame, rules: DataFrame, metric="metric", rule_me
 
 
 def correlate(alerts: DataFrame, window_s: int = 300, id="alert_id", ts="first_seen", service="service",
-              host="host", metric="metric", limit: int | None = None) -> DataFrame:
+              host="host", metric="metric", limit: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Correlation group of each alert.
 
     An alert joins the group of the earliest alert at most ``window_s`` older with its
     service, else its host, else its metric family; otherwise it starts a group named
     after itself.  The earliest match is a range-window minimum, so no pairs are formed;
-    links to links are resolved by doubling.
+    links to links are resolved by doubling, or in one task while they are few.
     """
     span = window_s * 1_000_000
     d = alerts.select(F.col(id).alias("id"), F.col(ts).alias("ts"), F.col(service).alias("k_service"),
@@ -80,13 +81,28 @@ def correlate(alerts: DataFrame, window_s: int = 300, id="alert_id", ts="first_s
 
     links = cut(d.select("id", F.coalesce(parent("k_service"), parent("k_host"), parent("k_family"),
                                           F.col("id")).alias("root")))
-    while True:
+    if links.limit(bound + 1).count() <= bound:
+        def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+            up = dict(zip(pdf["id"], pdf["root"]))
+            root: dict = {}
+            for i in pdf["id"]:
+                seen = []
+                while i not in root and up[i] != i:
+                    seen.append(i)
+                    i = up[i]
+                top = root.setdefault(i, i)
+                root.update((x, top) for x in seen)
+            return pdf.assign(root=pdf["id"].map(root))
+
+        links = links.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(follow, links.withColumn("__all", F.lit(0)).schema).drop("__all")
+        done = True
+    else:
+        done = False
+    while not done:
         up = links.select(F.col("id").alias("root"), F.col("root").alias("above"))
         nxt = cut(links.join(up, "root").select("id", "root", "above"))
         done = nxt.where("root <> above").isEmpty()
         links = nxt.select("id", F.col("above").alias("root"))
-        if done:
-            break
     return alerts.join(links.select(F.col("id").alias(id), F.concat(
         F.lit("corr-"), short_id("root")).alias("correlation_group"), F.col("root").alias("group_root")), id)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.operators.aggregates import head_tail, trend_of  # noqa: F401
-from pulsegrid.scale import (as_of_column, islands, newest, over_range, over_rows, positions, previous)
+from pulsegrid.scale import (as_of_column, islands, moving, newest, over_rows, positions, previous)
 
 
 def _c(c) -> Column:
@@ -18,29 +18,23 @@ def rows() -> Column:
     return F.count(F.lit(1))
 
 
-FNS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
+DIRECT = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
 def rolling(df: DataFrame, keys: Sequence[str], ts: str, col: str, span_s: int, fns: Sequence[str] = ("mean",),
-            prefix: str = "rolling", limit: int | None = None) -> DataFrame:
-    """Statistics over ``(t - span, t]`` per row."""
-    us = span_s * 1_000_000
-
-    def exprs(w):
-        frame = w.rangeBetween(-(us - 1), 0)
-        return {f"{prefix}_{f}": FNS[f](col).over(frame) for f in fns}
-
-    return over_range(df, keys, ts, span_s, exprs, limit)
+            prefix: str = "rolling") -> DataFrame:
+    """Statistics over ``(t - span, t]`` per row: count, sum, mean, std, min, max."""
+    return moving(df, keys, {f"{prefix}_{f}": (f, col) for f in fns}, ts=ts, span_s=span_s)
 
 
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, n: int,
            fns: Sequence[str] = ("mean",), prefix: str = "last", limit: int | None = None) -> DataFrame:
     """Statistics over the last ``n`` rows including this one."""
-    def exprs(w):
-        frame = w.rowsBetween(-(n - 1), 0)
-        return {f"{prefix}_{f}": FNS[f](col).over(frame) for f in fns}
-
-    return over_rows(df, keys, [F.col(o) for o in order], n - 1, exprs, limit)
+    if n > 32:
+        return moving(df, keys, {f"{prefix}_{f}": (f, col) for f in fns}, order=order, n=n, limit=limit)
+    # a frame of a few rows is cheaper to re-read than to take apart
+    return over_rows(df, keys, [F.col(o) for o in order], n - 1, lambda w: {
+        f"{prefix}_{f}": DIRECT[f](col).over(w.rowsBetween(-(n - 1), 0)) for f in fns}, limit)
 
 
 def dynamic_threshold(df: DataFrame, keys: Sequence[str] = ("metric",), ts="ts", tie="event_id", value="value",
@@ -51,19 +45,12 @@ def dynamic_threshold(df: DataFrame, keys: Sequence[str] = ("metric",), ts="ts",
     threshold stands.  The last hour counts if it has ten rows, else the last fifty.  An
     upper threshold never falls below the base, a lower one never rises above it.
     """
-    hour = 3600 * 1_000_000
-    d = over_range(df, keys, ts, 3600, lambda w: {
-        "__hn": rows().over(w.rangeBetween(-hour, 0)),
-        "__hm": F.avg(value).over(w.rangeBetween(-hour, 0)),
-        "__hs": F.stddev_samp(value).over(w.rangeBetween(-hour, 0))}, limit)
-
-    def by_rows(w):
-        def stats(n, tag):
-            f = w.rowsBetween(-(n - 1), 0)
-            return {f"__{tag}m": F.avg(value).over(f), f"__{tag}s": F.stddev_samp(value).over(f)}
-        return {"__seen": rows().over(w.rowsBetween(-19, 0)), **stats(memory, "a"), **stats(50, "f")}
-
-    d = over_rows(d, keys, [F.col(ts), F.col(tie)], memory - 1, by_rows, limit)
+    order = [ts, tie]
+    d = moving(df, keys, {"__hn": ("count", value), "__hm": ("mean", value), "__hs": ("std", value)},
+               ts=ts, span_s=3600, closed=True)
+    for tag, size in (("a", memory), ("f", 50)):
+        d = moving(d, keys, {f"__{tag}m": ("mean", value), f"__{tag}s": ("std", value)}, order=order, n=size, limit=limit)
+    d = over_rows(d, keys, [F.col(o) for o in order], 19, lambda w: {"__seen": rows().over(w.rowsBetween(-19, 0))}, limit)
 
     def choose(x):
         return F.when(F.col("__hn") > memory, F.col(f"__a{x}")).when(F.col("__hn") >= 10, F.col(f"__h{x}")) \
@@ -162,9 +149,8 @@ def counter_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 def increase(df: DataFrame, keys: Sequence[str], ts: str, tie: str, span_s: int, value="value", out="increase",
              limit: int | None = None) -> DataFrame:
     """Counter growth over ``(t - span, t]``, without extrapolation to the window's edges."""
-    us = span_s * 1_000_000
     d = counter_steps(df, keys, [ts, tie], value, limit)
-    return over_range(d, keys, ts, span_s, lambda w: {out: F.sum("step").over(w.rangeBetween(-(us - 1), 0))}, limit).drop("step")
+    return moving(d, keys, {out: ("sum", "step")}, ts=ts, span_s=span_s).drop("step")
 
 
 def rate(df: DataFrame, keys: Sequence[str], ts: str, tie: str, span_s: int, value="value", limit: int | None = None) -> DataFrame:
@@ -183,11 +169,9 @@ def irate(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value="value",
 
 def changes(df: DataFrame, keys: Sequence[str], ts: str, tie: str, span_s: int, value="value", limit: int | None = None) -> DataFrame:
     """How often the value changed in ``(t - span, t]``."""
-    us = span_s * 1_000_000
     d = previous(df, keys, [F.col(ts), F.col(tie)], {"__pv": value}, limit) \
         .withColumn("__ch", (F.col("__pv").isNotNull() & (F.col("__pv") != F.col(value))).cast("long"))
-    return over_range(d, keys, ts, span_s, lambda w: {
-        "changes": F.sum("__ch").over(w.rangeBetween(-(us - 1), 0))}, limit).drop("__ch", "__pv")
+    return moving(d, keys, {"changes": ("sum", "__ch")}, ts=ts, span_s=span_s).drop("__ch", "__pv")
 
 
 def histogram_quantile(buckets: DataFrame, keys: Sequence[str], q: float, le="le", count="count") -> DataFrame:

@@ -146,6 +146,88 @@ def over_range(df: DataFrame, keys: Sequence[str], ts: str, span_s: float,
             .where("__piece = __home").drop("__home", "__piece"))
 
 
+def moving(df: DataFrame, keys: Sequence[str], fns: dict[str, tuple[str, str]], ts: str | None = None,
+           span_s: float | None = None, closed: bool = False, order: Sequence[str] = (), n: int | None = None,
+           limit: int | None = None) -> DataFrame:
+    """Moving statistics whose cost per row does not grow with the frame.
+
+    ``fns`` maps a new column to ("count" | "sum" | "mean" | "std" | "min" | "max", column).
+    The frame is ``(t - span, t]`` over ``ts``, with ``closed`` also its left end, or the
+    last ``n`` rows in ``order``.
+
+    A sliding frame is re-read for every row.  Here the axis is cut into blocks as long as
+    the frame, so a frame is the end of one block and the start of the next.  Running
+    statistics from the block's border outwards give both parts, and merging them loses
+    no digits.  A block and the one before it form one task's group, whatever the key's
+    size.  Every row sends a probe to its frame's left edge to read the running value.
+    """
+    keys = list(keys)
+    if ts is not None:
+        d = df.withColumn("__o", F.unix_micros(ts))
+        width = int(span_s * 1_000_000) + (1 if closed else 0)
+    else:
+        d = positions(df, keys, [F.col(o) for o in order], "__o", limit)
+        width = n
+    cols = sorted({c for _, c in fns.values()})
+    block = F.floor(F.col("__o") / width)
+
+    def copy(kind, at):
+        return F.struct(F.lit(kind).alias("kind"), at.alias("at"))
+
+    d = d.withColumn("__c", F.explode(F.array(copy(0, block), copy(1, block + 1), copy(2, block))))
+    kind = F.col("__c.kind")
+    home, halo, probe = kind == 0, kind == 1, kind == 2
+    # only the home copy carries the row, and probes carry no values
+    carried = [F.when(home, F.col(c)).alias(c) if c not in keys else F.col(c) for c in df.columns]
+    d = d.select(*carried, "__o", F.col("__c.at").alias("__at"), kind.alias("__k"),
+                 *[F.when(~probe, F.col(c)).alias(f"__v_{c}") for c in cols],
+                 # running order: outwards from the border between the two blocks
+                 F.when(home, 2 * F.col("__o")).when(halo, 1 - 2 * F.col("__o"))
+                 .otherwise(2 * (width - F.col("__o"))).alias("__z"))
+    home, probe = F.col("__k") == 0, F.col("__k") == 2
+    run = Window.partitionBy(*keys, "__at", home).orderBy("__z").rangeBetween(Window.unboundedPreceding, 0)
+    used = {c: {f for f, x in fns.values() if x == c} for c in cols}
+    parts = {}
+    for c in cols:
+        v, u = F.col(f"__v_{c}"), used[c]
+        parts[f"n_{c}"] = F.count(v)
+        if u & {"sum"}:
+            parts[f"s_{c}"] = F.sum(v)
+        if u & {"mean", "std"}:
+            parts[f"m_{c}"] = F.avg(v)
+        if u & {"std"}:
+            parts[f"q_{c}"] = F.var_pop(v)
+        if u & {"min"}:
+            parts[f"lo_{c}"] = F.min(v)
+        if u & {"max"}:
+            parts[f"hi_{c}"] = F.max(v)
+    d = d.withColumns({f"__h_{k}": x.over(run) for k, x in parts.items()})
+    same = Window.partitionBy(*keys, "__at", "__o")
+    d = d.withColumns({f"__e_{k}": F.max(F.when(probe, F.col(f"__h_{k}"))).over(same) for k in parts}).where(home)
+
+    def both(k):
+        return F.col(f"__e_{k}"), F.col(f"__h_{k}")
+
+    def result(f, c):
+        na, nb = (F.coalesce(x, F.lit(0)) for x in both(f"n_{c}"))
+        cnt = na + nb
+        if f == "count":
+            return cnt
+        if f == "sum":
+            a, b = both(f"s_{c}")
+            return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+        if f in ("min", "max"):
+            return (F.least if f == "min" else F.greatest)(*both(f"{'lo' if f == 'min' else 'hi'}_{c}"))
+        ma, mb = both(f"m_{c}")
+        if f == "mean":
+            return F.when(na == 0, mb).when(nb == 0, ma).otherwise(ma + (mb - ma) * nb / cnt)
+        qa, qb = (F.coalesce(x, F.lit(0.0)) for x in both(f"q_{c}"))
+        gap = F.when((na > 0) & (nb > 0), (mb - ma) * (mb - ma) * na * nb / cnt).otherwise(0.0)
+        return F.when(cnt > 1, F.sqrt((qa * na + qb * nb + gap) / (cnt - 1)))
+
+    return d.select(*df.columns, *[result(f, c).alias(name) for name, (f, c) in fns.items()])
+
+
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, str],
              limit: int | None = None) -> DataFrame:
     """``{new column: column}`` taken from the row before."""

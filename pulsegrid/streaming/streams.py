@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pulsegrid.functions import scalars as S
 from pulsegrid.operators.predicates import breaches, data_quality
 from pulsegrid.operators.windows import last_n, latest
-from pulsegrid.scale import fold, over_range, previous, scan
+from pulsegrid.scale import fold, moving, previous, scan
 from pulsegrid.session import scratch_path
 from pulsegrid.streaming import steps
 
@@ -208,9 +208,8 @@ def bounded_history(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (
     """History size per row under a row cap and a time to live."""
     if df.isStreaming:
         return keyed_fold(df, keys, order, steps.history(memory, ttl_s), {"t": []}, _extend(df, "history_size BIGINT"))
-    us = int(ttl_s * 1_000_000)
-    return over_range(df, keys, ts, ttl_s, lambda w: {
-        "history_size": F.least(F.lit(memory).cast("long"), F.count(F.lit(1)).over(w.rangeBetween(-us, 0)))}, limit)
+    d = moving(df.withColumn("__one", F.lit(1)), keys, {"history_size": ("count", "__one")}, ts=ts, span_s=ttl_s, closed=True)
+    return d.withColumn("history_size", F.least(F.lit(memory).cast("long"), "history_size")).drop("__one")
 
 
 # --- windows --------------------------------------------------------------

@@ -144,3 +144,28 @@ def test_small_and_largest_group(spark):
     assert scale.largest_group(d, ["k"]) == 17
     assert "broadcast" in scale.small(d, 60)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in scale.small(d, 10)._jdf.queryExecution().logical().toString().lower()
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_moving_over_time_equals_sliding_frames(hot, rows, closed):
+    d = hot.where("k is not null").withColumn("v", F.when(F.col("sec") % 5 < 2, F.col("v")).otherwise(F.lit(7.25)))
+    got = rows(scale.moving(d, ["k"], {"n": ("count", "v"), "s": ("sum", "v"), "m": ("mean", "v"), "d": ("std", "v"),
+                            "lo": ("min", "v"), "hi": ("max", "v")}, ts="ts", span_s=200, closed=closed), "id", "n", "s", "m", "d", "lo", "hi")
+    w = Window.partitionBy("k").orderBy(F.unix_micros("ts")).rangeBetween(-200_000_000 + (0 if closed else 1), 0)
+    want = rows(d.select("id", F.count("v").over(w).alias("n"), F.sum("v").over(w).alias("s"), F.avg("v").over(w).alias("m"),
+                         F.stddev_samp("v").over(w).alias("d"), F.min("v").over(w).alias("lo"), F.max("v").over(w).alias("hi")),
+                "id", "n", "s", "m", "d", "lo", "hi")
+    assert got == want and any(r[4] == 0.0 for r in want)
+
+
+@pytest.mark.parametrize("n", [2, 33, 400])
+@pytest.mark.parametrize("limit", [None, LIMIT])
+def test_moving_over_rows_equals_sliding_frames(hot, rows, n, limit):
+    d = hot.where("k is not null").withColumn("v", F.when(F.col("id") % 40 < 9, F.col("v")).otherwise(F.lit(1e6)))
+    got = rows(scale.moving(d, ["k"], {"n": ("count", "v"), "m": ("mean", "v"), "d": ("std", "v")}, order=["sec", "id"], n=n, limit=limit), "id", "n", "m", "d")
+    w = Window.partitionBy("k").orderBy("sec", "id").rowsBetween(-(n - 1), 0)
+    want = rows(d.select("id", F.count("v").over(w).alias("n"), F.avg("v").over(w).alias("m"), F.stddev_samp("v").over(w).alias("d")), "id", "n", "m", "d")
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    # the series jumps between 25 and 1e6, and small spreads inside must survive that
+    for g, x in zip(got, want):
+        assert g[2] == pytest.approx(x[2], rel=1e-9) and (g[3] is x[3] is None or g[3] == pytest.approx(x[3], rel=1e-9, abs=1e-9))
