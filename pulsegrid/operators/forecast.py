@@ -15,8 +15,8 @@ from pulsegrid.operators import kernels, stats
 from pulsegrid.operators.forest import anomaly_intervals
 from pulsegrid.operators.joins import lag_at
 from pulsegrid.operators.predicates import ffill
-from pulsegrid.operators.windows import nth_last, rolling, sequences
-from pulsegrid.scale import newest, positions
+from pulsegrid.operators.windows import nth_last, rolling
+from pulsegrid.scale import positions
 
 FEATURES = ("hour", "day_of_week", "is_weekend", "rolling_mean", "rolling_std", "day_mean", "lag_1h", "lag_6h")
 
@@ -66,73 +66,86 @@ def growth_alert(forecast: DataFrame) -> DataFrame:
 
 def sequence_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[str], col="value", lookback: int = 24,
                       horizon: int = 24, step_s: int = 300, ts="ts", min_train: int = 10, slots: int = 64,
-                      ridge: float = 1e-6, limit: int | None = None) -> DataFrame:
+                      ridge: float = 1e-6, piece: int = 50_000, limit: int | None = None) -> DataFrame:
     """Recursive multi-step forecast of every series.
 
     Windows of ``lookback`` scaled values predict the next one with a linear learner
-    fitted on the first four fifths.  Tasks add up normal equations, which are summed in
-    ``slots`` parts and then once per series; each prediction is fed back as input.
+    fitted on the first four fifths and judged on the rest; each prediction is fed back
+    as input.  Series are cut into pieces led by the rows their first windows need.  A
+    piece adds up its normal equations, so windows are never shuffled; the sums are
+    combined in ``slots`` parts and then once per series.
     """
     keys = list(keys)
-    d = ffill(df.select(*keys, *order, col), [col], keys, order, "bfill", limit).dropna(subset=[col])
-    d = stats.minmax_scale(d, keys, col, "s")
-    seqs = positions(sequences(d, keys, order, "s", lookback, limit), keys, [F.col(o) for o in order], "__at", limit)
-    n = seqs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    seqs = seqs.join(n, keys).withColumn("__train", F.col("__at") < F.floor(F.col("__n") * 0.8))
-    sums = T.StructType([df.schema[k] for k in keys] + [
-        T.StructField("slot", T.IntegerType()), T.StructField("rows", T.LongType()),
-        T.StructField("a", T.ArrayType(T.DoubleType())), T.StructField("b", T.ArrayType(T.DoubleType()))])
-
-    def equations(batches):
-        acc: dict = {}
-        for pdf in batches:
-            for k, g in pdf.groupby(keys, sort=False):
-                more_a, more_b = kernels.normal_sums(g["window"].tolist(), g["target"])
-                a, b, c = acc.get(k, (0.0, 0.0, 0))
-                acc[k] = (a + more_a, b + more_b, c + len(g))
-        from pyspark import TaskContext
-        slot = TaskContext.get().partitionId() % slots
-        for k, (a, b, c) in acc.items():
-            yield pd.DataFrame([[*(k if isinstance(k, tuple) else (k,)), slot, c, a.ravel().tolist(), b.tolist()]],
-                               columns=[f.name for f in sums.fields])
+    d = df.select(*keys, *order, col)
+    if not d.where(F.col(col).isNull()).isEmpty():
+        d = ffill(d, [col], keys, order, "bfill", limit).dropna(subset=[col])
+    ends = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("s_min"), F.max(col).alias("s_max"))
+    span = F.col("s_max") - F.col("s_min")
+    d = positions(d, keys, [F.col(o) for o in order], "__at", limit).join(ends, keys).select(
+        *keys, *order, "__at", "n", "s_min", "s_max",
+        ((F.col(col) - F.col("s_min")) / F.when(span > 0, span).otherwise(1.0)).alias("s"))
+    here = F.floor(F.col("__at") / piece)
+    lead = F.when(F.col("__at") % piece >= piece - lookback, F.array(here, here + 1)).otherwise(F.array(here))
+    pieces = d.select(*keys, "__at", "n", "s", F.explode(lead).alias("__piece"))
+    key_fields = [df.schema[k] for k in keys]
+    doubles = T.ArrayType(T.DoubleType())
+    sums = T.StructType(key_fields + [T.StructField("slot", T.LongType())] + [
+        T.StructField(c, doubles) for c in ("train_a", "train_b", "test_a", "test_b")] + [
+        T.StructField(c, T.DoubleType()) for c in ("train_n", "test_n", "test_y")])
+    names = [f.name for f in sums.fields]
+    vectors, numbers = names[-7:-3], names[-3:]
+
+    def equations(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__at")
+        s, at = pdf["s"].to_numpy(float), pdf["__at"].to_numpy()
+        if len(s) <= lookback:
+            return pd.DataFrame(columns=names)
+        x, y = np.lib.stride_tricks.sliding_window_view(s, lookback)[:-1], s[lookback:]
+        edge = lookback + int((int(pdf["n"].iloc[0]) - lookback) * 0.8)
+        train = at[lookback:] < edge
+        a1, b1 = kernels.normal_sums(x[train], y[train])
+        a2, b2 = kernels.normal_sums(x[~train], y[~train])
+        row = [*(pdf[k].iloc[0] for k in keys), int(pdf["__piece"].iloc[0]) % slots, a1.ravel().tolist(), b1.tolist(),
+               a2.ravel().tolist(), b2.tolist(), float(train.sum()), float((~train).sum()), float((y[~train] ** 2).sum())]
+        return pd.DataFrame([row], columns=names)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[[0]].copy()
-        row["rows"] = int(pdf["rows"].sum())
-        for c in ("a", "b"):
+        for c in numbers:
+            row[c] = float(pdf[c].sum())
+        for c in vectors:
             row[c] = pd.Series([np.sum([np.asarray(v) for v in pdf[c]], axis=0).tolist()], index=row.index)
         return row
 
-    model_schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("w", T.ArrayType(T.DoubleType()))])
+    model_schema = T.StructType(key_fields + [T.StructField("w", doubles), T.StructField("test_rmse", T.DoubleType())])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = add(pdf)
-        if int(row["rows"].iloc[0]) < min_train:
+        t = add(pdf).iloc[0]
+        if t["train_n"] < min_train:
             return pd.DataFrame(columns=[f.name for f in model_schema.fields])
-        w = kernels.solve_normal(row["a"].iloc[0], row["b"].iloc[0], ridge)
-        row["w"] = pd.Series([w], index=row.index)
-        return row[[f.name for f in model_schema.fields]]
+        w = kernels.solve_normal(t["train_a"], t["train_b"], ridge)
+        return pd.DataFrame([[*(t[k] for k in keys), w, kernels.rmse(t["test_a"], t["test_b"], t["test_y"], t["test_n"], w)]],
+                            columns=[f.name for f in model_schema.fields])
 
-    partial = seqs.where("__train").select(*keys, "window", "target").mapInPandas(equations, sums)
+    partial = pieces.groupBy(*keys, "__piece").applyInPandas(equations, sums)
     models = partial.groupBy(*keys, "slot").applyInPandas(add, sums).groupBy(*keys).applyInPandas(solve, model_schema)
 
     def dot(window, w):
         return F.aggregate(F.zip_with(window, F.slice(w, 1, lookback), lambda p, q: p * q), F.get(w, F.lit(lookback)),
                            lambda s, v: s + v)
 
-    held = seqs.where(~F.col("__train")).join(models, keys).groupBy(*keys).agg(
-        F.avg(F.abs(F.col("target") - dot(F.col("window"), F.col("w")))).alias("test_mae"))
-    last = newest(d, keys, [F.desc(o) for o in order], lookback, limit).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(-F.col("rank"), "s"))).alias("tail"), F.max(ts).alias("last"),
-        F.first("s_min").alias("s_min"), F.first("s_max").alias("s_max")).where(F.size("tail") == lookback)
+    # the last window of a series: its rows are known by position
+    last = d.where(F.col("__at") >= F.col("n") - lookback).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("__at", "s"))).alias("tail"), F.max(ts).alias("last"),
+        F.first("s_min").alias("s_min"), F.first("s_max").alias("s_max"))
     roll = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.transform("tail", lambda t: t["s"]),
                        lambda acc, i: F.concat(acc, F.array(dot(F.slice(acc, -lookback, lookback), F.col("w")))))
-    out = last.join(models, keys).join(held, keys, "left") \
-        .select(*keys, "last", "s_min", "s_max", "test_mae", F.posexplode(F.slice(roll, lookback + 1, horizon)).alias("step", "s"))
+    out = last.join(models, keys) \
+        .select(*keys, "last", "s_min", "s_max", "test_rmse", F.posexplode(F.slice(roll, lookback + 1, horizon)).alias("step", "s"))
     out = stats.minmax_inverse(out, "s", "s", "predicted")
     return out.select(*keys, (F.col("step") + 1).alias("step"),
                       F.timestamp_micros(F.unix_micros("last") + (F.col("step") + 1).cast("long") * step_s * 1_000_000).alias("at"),
-                      "predicted", "test_mae")
+                      "predicted", "test_rmse")
 
 
 def analyze(measurements: dict[str, tuple[DataFrame, Sequence[str]]], order: Sequence[str] = ("ts",),

@@ -21,6 +21,7 @@ from pulsegrid.operators.windows import anomaly_islands
 from pulsegrid.scale import GROUP_LIMIT, largest_group
 from pulsegrid.session import cut, spread
 
+SPREAD_ROWS = 5_000_000  # inputs below this may sit in too few splits to score in parallel
 BROADCAST_KEYS = 32  # forests of this many keys stay under about 100 MB
 
 TREE = "tree INT, feature ARRAY<INT>, cut ARRAY<DOUBLE>, low ARRAY<INT>, high ARRAY<INT>, path ARRAY<DOUBLE>, drawn INT"
@@ -32,20 +33,22 @@ def _rows() -> Column:
 
 def fit_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id: Sequence[str], trees: int = 100,
                seed: int = 42) -> DataFrame:
-    """One row per key and tree.  A row enters a tree's draw when its hash is small enough
-    for about twice the sample, and the 256 smallest hashes of the tree are used."""
+    """One row per key and tree.
+
+    A row's hash is a point on a circle, and each tree looks at an arc of it that holds
+    about twice the sample, starting at its own angle; of the rows on the arc it uses the
+    256 with the smallest hash of row and tree."""
     keys, cols = list(keys), list(cols)
     n = df.groupBy(*keys).agg(_rows().alias("__n"))
     span = 1 << 31
-    odds = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("__n")) * span
-
-    def ticket(t):
-        return F.pmod(F.xxhash64(*[F.col(c) for c in id], t, F.lit(seed)), F.lit(span))
-
+    arc = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("__n")) * span
+    # the golden ratio spreads any number of starting angles evenly
+    angle = F.col("tree").cast("long") * int(span * 0.6180339887498949)
     drawn = (df.select(*keys, *cols, *[c for c in id if c not in keys + cols]).join(n, keys)
+             .withColumn("__u", F.pmod(F.xxhash64(*id, F.lit(seed)), F.lit(span)))
              .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-             .withColumn("__h", ticket(F.col("tree")))
-             .where((F.col("__n") <= 2 * SAMPLE) | (F.col("__h") < odds)))
+             .where(F.pmod(F.col("__u") + angle, F.lit(span)) < arc)
+             .withColumn("__h", F.xxhash64(*id, "tree", F.lit(seed))))
     w = Window.partitionBy(*keys, "tree").orderBy("__h", *id)
     sample = drawn.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= SAMPLE)
     out = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(TREE).fields)
@@ -125,8 +128,10 @@ def isolation_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id
     minus the contamination quantile), ``is_anomaly`` and ``severity`` of anomalies."""
     keys = list(keys)
     d = df.dropna(subset=list(cols))
-    enough = d.groupBy(*keys).agg(_rows().alias("__n")).where(F.col("__n") >= min_rows).select(*keys)
-    d = d.join(enough, keys, "left_semi")
+    sizes = d.groupBy(*keys).agg(_rows().alias("__n")).where(F.col("__n") >= min_rows)
+    d = d.join(sizes.select(*keys), keys, "left_semi")
+    if (sizes.agg(F.sum("__n")).first()[0] or 0) < SPREAD_ROWS:
+        d = spread(d, *id)
     forest = cut(fit_forest(d, keys, cols, id, trees, seed))
     scored = cut(score_forest(d, forest, keys, cols, limit))
     offset = quantile_cut(scored, keys, "score", contamination, "__offset", limit)

@@ -85,7 +85,7 @@ def score(x: np.ndarray, model: tuple[list, float]) -> np.ndarray:
 
 def normal_sums(windows, targets) -> tuple[np.ndarray, np.ndarray]:
     """Normal-equation sums of windows with a constant term."""
-    w = np.c_[np.array(windows, dtype=float), np.ones(len(windows))]
+    w = np.c_[np.asarray(windows, dtype=float), np.ones(len(windows))]
     return w.T @ w, w.T @ np.asarray(targets, dtype=float)
 
 
@@ -94,6 +94,15 @@ def solve_normal(a, b, ridge: float) -> list[float]:
     return np.linalg.solve(np.asarray(a, dtype=float).reshape(n, n) + ridge * np.eye(n), np.asarray(b, dtype=float)).tolist()
 
 
+def rmse(a, b, yy: float, n: float, w) -> float | None:
+    """Root mean squared error of weights ``w`` from the sums of the rows they are judged on."""
+    if not n:
+        return None
+    w, b = np.asarray(w), np.asarray(b, dtype=float)
+    a = np.asarray(a, dtype=float).reshape(len(b), len(b))
+    return float(np.sqrt(max(0.0, (yy - 2 * w @ b + w @ a @ w) / n)))
+
+
 def union_find(pairs) -> dict:
     """Smallest member of each node's component."""
     root: dict = {}

@@ -155,15 +155,16 @@ def test_forest_regression_floor(spark):
     assert X.rf_forecast(d.limit(50), "y") is None
 
 
-def test_sequence_forecast_follows_a_wave(spark):
+@pytest.mark.parametrize("piece", [50_000, 30])
+def test_sequence_forecast_follows_a_wave(spark, piece):
     rows = [("a", i, T0 + timedelta(minutes=5 * i), float(50 + 10 * np.sin(2 * np.pi * i / 12))) for i in range(240)] + \
            [("short", i, T0, 1.0) for i in range(20)]
     d = spark.createDataFrame(rows, "metric string, pos int, ts timestamp, value double").repartition(5)
-    r = X.sequence_forecast(d, ["metric"], ["ts", "pos"], lookback=24, horizon=12)
-    got = sorted((x.step, x["at"], x.predicted, x.test_mae) for x in r.collect())
+    r = X.sequence_forecast(d, ["metric"], ["ts", "pos"], lookback=24, horizon=12, piece=piece)
+    got = sorted((x.step, x["at"], x.predicted, x.test_rmse) for x in r.collect())
     assert len(got) == 12 and got[0][1] == T0 + timedelta(minutes=5 * 240)
-    for step, _, p, mae in got:
-        assert abs(p - (50 + 10 * np.sin(2 * np.pi * (239 + step) / 12))) < 0.05 and mae < 1e-3
+    for step, _, p, err in got:
+        assert abs(p - (50 + 10 * np.sin(2 * np.pi * (239 + step) / 12))) < 0.05 and err < 1e-3
 
 
 def test_correlations_cut_to_the_shorter(spark):
