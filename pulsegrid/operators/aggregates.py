@@ -59,11 +59,12 @@ def device_stats(df: DataFrame, keys: Sequence[str] = ("device", "metric"), orde
                  value="value", limit: int | None = None) -> DataFrame:
     """Count, mean, median, min, max, sample deviation (zero for one value) and trend."""
     keys = list(keys)
-    p = positions(df.select(*keys, *order, value), keys, [F.col(o) for o in order], "__at", limit)
+    fullest = largest_group(df, keys)
+    p = positions(df.select(*keys, *order, value), keys, [F.col(o) for o in order], "__at", limit, fullest)
     base = [rows().alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
             F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"),
             F.regr_slope(F.col(value), F.col("__at").cast("double")).alias("slope")]
-    if largest_group(df, keys) <= (GROUP_LIMIT if limit is None else limit):
+    if fullest <= (GROUP_LIMIT if limit is None else limit):
         out = p.groupBy(*keys).agg(*base, F.median(value).alias("median"))
     else:
         out = p.groupBy(*keys).agg(*base).join(median(df, keys, value, "median", limit), keys)

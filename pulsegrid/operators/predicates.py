@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pulsegrid.scale import as_of_column, scan
+from pulsegrid.scale import as_of_column, largest_group, scan
 
 
 def _c(c) -> Column:
@@ -43,11 +43,12 @@ def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def ffill(df: DataFrame, cols: Sequence[str], keys: Sequence[str], order: Sequence[str],
           then: str = "bfill", limit: int | None = None) -> DataFrame:
     """Fill nulls from the row before; leading nulls from the row after (``bfill``) or zero."""
+    fullest = largest_group(df, keys)
     out = scan(df, keys, [F.col(o) for o in order],
-               {f"__f_{c}": ("last", F.col(c)) for c in cols}, limit)
+               {f"__f_{c}": ("last", F.col(c)) for c in cols}, limit, fullest)
     if then == "bfill":
         out = scan(out, keys, [F.col(o).desc() for o in order],
-                   {f"__b_{c}": ("last", F.col(c)) for c in cols}, limit)
+                   {f"__b_{c}": ("last", F.col(c)) for c in cols}, limit, fullest)
         fill = {c: F.coalesce(f"__f_{c}", f"__b_{c}") for c in cols}
     else:
         fill = {c: F.coalesce(F.col(f"__f_{c}"), F.lit(0)) for c in cols}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pulsegrid.functions.scalars import future_grid
 from pulsegrid.operators.aggregates import head_tail, resample
 from pulsegrid.scale import positions
+from pulsegrid.session import cut
 
 
 def rows() -> Column:
@@ -216,19 +217,14 @@ def linear_forecast(df: DataFrame, keys: Sequence[str] = ("metric",), order: Seq
                       "slope")
 
 
-def correlations(df: DataFrame, metric="metric", order: Sequence[str] = ("ts", "event_id"), value="value",
-                 keep: float = 0.7, strong: float = 0.8, limit: int | None = None) -> DataFrame:
-    """Pearson correlation of every two series aligned by position, the strong ones kept.
-
-    The rows at one position form one short vector, and each task adds its vectors to a
-    matrix of sums, so the number of rows shuffled is the number of metric pairs per
-    task, never pairs per position.  The driver needs one name and mean per metric."""
-    p = positions(df.where(F.col(value).isNotNull()), [metric], [F.col(o) for o in order], "__at", limit)
-    heads = df.groupBy(metric).agg(F.avg(value)).orderBy(metric).collect()
+def _pair_sums(p: DataFrame, metric: str, value: str, heads: list, first: int) -> DataFrame:
+    """Sums of every pair of the metrics in ``heads``, at least one of which is among the
+    first ``first``: each task adds its positions' vectors to one matrix."""
     names, centre = [h[0] for h in heads], np.array([h[1] for h in heads], dtype=float)
-    vec = p.groupBy("__at").agg(F.map_from_entries(F.collect_list(F.struct(metric, F.col(value).cast("double")))).alias("m")) \
-        .select(F.array(*[F.element_at("m", F.lit(x)) for x in names]).alias("v"))
     m = len(names)
+    vec = p.where(F.col(metric).isin(names)).groupBy("__at").agg(
+        F.map_from_entries(F.collect_list(F.struct(metric, F.col(value).cast("double")))).alias("m")) \
+        .select(F.array(*[F.element_at("m", F.lit(x)) for x in names]).alias("v"))
 
     def gram(batches):
         parts = np.zeros((4, m, m))
@@ -238,14 +234,42 @@ def correlations(df: DataFrame, metric="metric", order: Sequence[str] = ("ts", "
             x = np.nan_to_num(x)
             parts += np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x])
         i, j = np.triu_indices(m, 1)
-        yield pd.DataFrame({"i": i, "j": j, "n": parts[0][i, j], "sx": parts[1][i, j], "sy": parts[1][j, i],
-                            "sxx": parts[2][i, j], "syy": parts[2][j, i], "sxy": parts[3][i, j]})
+        keep = i < first
+        i, j = i[keep], j[keep]
+        if len(i):
+            yield pd.DataFrame({"a": [names[k] for k in i], "b": [names[k] for k in j], "n": parts[0][i, j], "sx": parts[1][i, j],
+                                "sy": parts[1][j, i], "sxx": parts[2][i, j], "syy": parts[2][j, i], "sxy": parts[3][i, j]})
+
+    return vec.mapInPandas(gram, "a string, b string, n double, sx double, sy double, sxx double, syy double, sxy double") \
+        .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
-    s = vec.mapInPandas(gram, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double") \
-        .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).where("n >= 3")
+
+def correlations(df: DataFrame, metric="metric", order: Sequence[str] = ("ts", "event_id"), value="value",
+                 keep: float = 0.7, strong: float = 0.8, block: int = 500, limit: int | None = None) -> DataFrame:
+    """Pearson correlation of every two series aligned by position, the strong ones kept.
+
+    The rows at one position form one short vector, and each task adds its vectors to a
+    matrix of sums, so the number of rows shuffled is the number of metric pairs per
+    task, never pairs per position.  More than ``block`` metrics are taken block by
+    block.  The driver needs one name and mean per metric.
+    """
+    d = df.where(F.col(value).isNotNull())
+    p = positions(d, [metric], [F.col(o) for o in order], "__at", limit)
+    heads = [tuple(r) for r in d.groupBy(metric).agg(F.avg(value)).orderBy(metric).collect()]
+    blocks = [heads[i:i + block] for i in range(0, len(heads), block)]
+    if len(blocks) > 1:
+        p = cut(p.select("__at", metric, value))
+    s = None
+    for i, left in enumerate(blocks):
+        # a block with itself, then with each later one, counting only pairs that cross
+        parts = [_pair_sums(p, metric, value, left, len(left))]
+        for right in blocks[i + 1:]:
+            in_left, in_right = [h[0] for h in left], [h[0] for h in right]
+            parts.append(_pair_sums(p, metric, value, left + right, len(left))
+                         .where(F.col("a").isin(in_left) & F.col("b").isin(in_right)))
+        for part in parts:
+            s = part if s is None else s.unionByName(part)
     r = F.try_divide(F.expr("n * sxy - sx * sy"), F.sqrt(F.expr("greatest(n * sxx - sx * sx, 0D)")) *
                      F.sqrt(F.expr("greatest(n * syy - sy * sy, 0D)")))
-    label = F.array(*[F.lit(x) for x in names])
-    return s.select(F.get(label, "i").alias("a"), F.get(label, "j").alias("b"), r.alias("correlation")) \
-        .where(F.abs("correlation") > keep) \
+    return s.where("n >= 3").select("a", "b", r.alias("correlation")).where(F.abs("correlation") > keep) \
         .withColumn("strength", F.when(F.abs("correlation") > strong, "strong").otherwise("moderate"))

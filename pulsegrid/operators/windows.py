@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.operators.aggregates import head_tail, trend_of  # noqa: F401
-from pulsegrid.scale import (as_of_column, islands, moving, newest, over_rows, positions, previous)
+from pulsegrid.scale import (as_of_column, islands, largest_group, moving, newest, over_rows, positions, previous)
 
 
 def _c(c) -> Column:
@@ -28,13 +28,14 @@ def rolling(df: DataFrame, keys: Sequence[str], ts: str, col: str, span_s: int,
 
 
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, n: int,
-           fns: Sequence[str] = ("mean",), prefix: str = "last", limit: int | None = None) -> DataFrame:
+           fns: Sequence[str] = ("mean",), prefix: str = "last", limit: int | None = None,
+           fullest: int | None = None) -> DataFrame:
     """Statistics over the last ``n`` rows including this one."""
     if n > 32:
-        return moving(df, keys, {f"{prefix}_{f}": (f, col) for f in fns}, order=order, n=n, limit=limit)
+        return moving(df, keys, {f"{prefix}_{f}": (f, col) for f in fns}, order=order, n=n, limit=limit, fullest=fullest)
     # a frame of a few rows is cheaper to re-read than to take apart
     return over_rows(df, keys, [F.col(o) for o in order], n - 1, lambda w: {
-        f"{prefix}_{f}": DIRECT[f](col).over(w.rowsBetween(-(n - 1), 0)) for f in fns}, limit)
+        f"{prefix}_{f}": DIRECT[f](col).over(w.rowsBetween(-(n - 1), 0)) for f in fns}, limit, fullest)
 
 
 def dynamic_threshold(df: DataFrame, keys: Sequence[str] = ("metric",), ts="ts", tie="event_id", value="value",
@@ -45,12 +46,14 @@ def dynamic_threshold(df: DataFrame, keys: Sequence[str] = ("metric",), ts="ts",
     threshold stands.  The last hour counts if it has ten rows, else the last fifty.  An
     upper threshold never falls below the base, a lower one never rises above it.
     """
-    order = [ts, tie]
-    d = moving(df, keys, {"__hn": ("count", value), "__hm": ("mean", value), "__hs": ("std", value)},
+    order, fullest = [ts, tie], largest_group(df, keys)
+    d = over_rows(df, keys, [F.col(o) for o in order], 19, lambda w: {
+        "__seen": rows().over(w.rowsBetween(-19, 0))}, limit, fullest)
+    d = moving(d, keys, {"__hn": ("count", value), "__hm": ("mean", value), "__hs": ("std", value)},
                ts=ts, span_s=3600, closed=True)
     for tag, size in (("a", memory), ("f", 50)):
-        d = moving(d, keys, {f"__{tag}m": ("mean", value), f"__{tag}s": ("std", value)}, order=order, n=size, limit=limit)
-    d = over_rows(d, keys, [F.col(o) for o in order], 19, lambda w: {"__seen": rows().over(w.rowsBetween(-19, 0))}, limit)
+        d = moving(d, keys, {f"__{tag}m": ("mean", value), f"__{tag}s": ("std", value)}, order=order, n=size,
+                   limit=limit, fullest=fullest)
 
     def choose(x):
         return F.when(F.col("__hn") > memory, F.col(f"__a{x}")).when(F.col("__hn") >= 10, F.col(f"__h{x}")) \

@@ -165,8 +165,8 @@ def container_json(t: Tables):
 STATS_SQL = """cs AS (SELECT event_id, event_id AS n, round(value * 100)::BIGINT AS v FROM events)"""
 
 
-@query("s10_read_container_stats", f"""WITH {STATS_SQL} SELECT event_id, CASE WHEN n > 0 THEN round(v / (n * 100.0) * 2 * 100, 2) ELSE 0 END AS cpu_percent,
- round(v / 50000.0 * 100, 2) AS memory_percent, v AS memory_usage_bytes FROM cs""")
+@query("s10_read_container_stats", f"""WITH {STATS_SQL} SELECT event_id, round((CASE WHEN n > 0 THEN v / (n * 100.0) * 2 * 100 ELSE 0 END)::DECIMAL(20, 10), 2)::DOUBLE AS cpu_percent,
+ round((v / 50000.0 * 100)::DECIMAL(20, 10), 2)::DOUBLE AS memory_percent, v AS memory_usage_bytes FROM cs""")
 def _(t):
     return R.read_container_stats(container_json(t)).select("event_id", "cpu_percent", "memory_percent", "memory_usage_bytes")
 

@@ -35,21 +35,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if seen <= rows else df
 
 
+def _fits(df: DataFrame, keys: Sequence[str], limit: int | None, fullest: int | None) -> bool:
+    """Does every key stay within the limit?  ``fullest`` spares the count when known."""
+    return (largest_group(df, keys) if fullest is None else fullest) <= (GROUP_LIMIT if limit is None else limit)
+
+
 def _window(keys):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence, specs: dict[str, tuple[str, Column]],
-         limit: int | None = None) -> DataFrame:
+         limit: int | None = None, fullest: int | None = None) -> DataFrame:
     """Inclusive running values per key in order; ``specs`` maps a new column to
     ``("sum" | "last" | "max" | "min", column)``.  "last" skips nulls."""
-    limit = GROUP_LIMIT if limit is None else limit
     keys, order = list(keys), list(order)
 
     def running(kind, c, w):
         return {"sum": F.sum(c), "last": F.last(c, ignorenulls=True), "max": F.max(c), "min": F.min(c)}[kind].over(w)
 
-    if largest_group(df, keys) <= limit:
+    if _fits(df, keys, limit, fullest):
         w = _window(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[running(k, c, w).alias(n) for n, (k, c) in specs.items()])
 
@@ -93,14 +97,15 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence, specs: dict[str, t
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "pos",
-              limit: int | None = None) -> DataFrame:
+              limit: int | None = None, fullest: int | None = None) -> DataFrame:
     """Zero-based place of each row within its key."""
-    return scan(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, limit) \
+    return scan(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, limit, fullest) \
         .withColumn(name, F.col(name) - 1)
 
 
 def over_rows(df: DataFrame, keys: Sequence[str], order: Sequence, before: int,
-              exprs: Callable[[Window], dict[str, Column]], limit: int | None = None) -> DataFrame:
+              exprs: Callable[[Window], dict[str, Column]], limit: int | None = None,
+              fullest: int | None = None) -> DataFrame:
     """Window columns that look back at most ``before`` rows.
 
     ``exprs(w)`` gets the partitioned, ordered window and returns the new columns.  A
@@ -108,14 +113,15 @@ def over_rows(df: DataFrame, keys: Sequence[str], order: Sequence, before: int,
     piece before it.
     """
     limit = GROUP_LIMIT if limit is None else limit
-    if largest_group(df, keys) <= limit:
+    fullest = largest_group(df, keys) if fullest is None else fullest
+    if fullest <= limit:
         w = _window(keys).orderBy(*order)
         return df.select("*", *[c.alias(n) for n, c in exprs(w).items()])
     size = max(limit, before + 1)
     piece = F.floor(F.col("__pos") / size)
     lead = F.when(F.col("__pos") % size >= size - before, F.array(piece, piece + 1)) \
         .otherwise(F.array(piece))
-    pieces = positions(df, keys, order, "__pos", limit) \
+    pieces = positions(df, keys, order, "__pos", limit, fullest) \
         .withColumn("__home", piece).withColumn("__piece", F.explode(lead))
     w = Window.partitionBy(*keys, "__piece").orderBy("__pos")
     return (pieces.select("*", *[c.alias(n) for n, c in exprs(w).items()])
@@ -148,7 +154,7 @@ def over_range(df: DataFrame, keys: Sequence[str], ts: str, span_s: float,
 
 def moving(df: DataFrame, keys: Sequence[str], fns: dict[str, tuple[str, str]], ts: str | None = None,
            span_s: float | None = None, closed: bool = False, order: Sequence[str] = (), n: int | None = None,
-           limit: int | None = None) -> DataFrame:
+           limit: int | None = None, fullest: int | None = None) -> DataFrame:
     """Moving statistics whose cost per row does not grow with the frame.
 
     ``fns`` maps a new column to ("count" | "sum" | "mean" | "std" | "min" | "max", column).
@@ -166,7 +172,7 @@ def moving(df: DataFrame, keys: Sequence[str], fns: dict[str, tuple[str, str]],
         d = df.withColumn("__o", F.unix_micros(ts))
         width = int(span_s * 1_000_000) + (1 if closed else 0)
     else:
-        d = positions(df, keys, [F.col(o) for o in order], "__o", limit)
+        d = positions(df, keys, [F.col(o) for o in order], "__o", limit, fullest)
         width = n
     cols = sorted({c for _, c in fns.values()})
     block = F.floor(F.col("__o") / width)
@@ -229,19 +235,20 @@ def moving(df: DataFrame, keys: Sequence[str], fns: dict[str, tuple[str, str]],
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence, cols: dict[str, str],
-             limit: int | None = None) -> DataFrame:
+             limit: int | None = None, fullest: int | None = None) -> DataFrame:
     """``{new column: column}`` taken from the row before."""
     return over_rows(df, keys, order, 1, lambda w: {
-        n: F.max(F.struct(F.col(c))).over(w.rowsBetween(-1, -1))[c] for n, c in cols.items()}, limit)
+        n: F.max(F.struct(F.col(c))).over(w.rowsBetween(-1, -1))[c] for n, c in cols.items()}, limit, fullest)
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence, flag: Column,
             limit: int | None = None) -> DataFrame:
     """Rows where ``flag`` holds, numbered by run: consecutive rows share ``island``."""
+    fullest = largest_group(df, keys)
     marked = previous(df.withColumn("__flag", F.coalesce(flag, F.lit(False))), keys, order,
-                      {"__was": "__flag"}, limit)
+                      {"__was": "__flag"}, limit, fullest)
     start = (F.col("__flag") & ~F.coalesce(F.col("__was"), F.lit(False))).cast("long")
-    return scan(marked, keys, order, {"island": ("sum", start)}, limit) \
+    return scan(marked, keys, order, {"island": ("sum", start)}, limit, fullest) \
         .where("__flag").drop("__flag", "__was")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pulsegrid.functions import scalars as S
 from pulsegrid.operators.predicates import breaches, data_quality
 from pulsegrid.operators.windows import last_n, latest
-from pulsegrid.scale import fold, moving, previous, scan
+from pulsegrid.scale import fold, largest_group, moving, previous, scan
 from pulsegrid.session import scratch_path
 from pulsegrid.streaming import steps
 
@@ -133,8 +133,9 @@ def detect_energy(df: DataFrame, keys: Sequence[str] = ("metric_name",), order:
     """Consumption above twice the mean of the last ten values."""
     if df.isStreaming:
         return keyed_fold(df, keys, order, steps.energy(value), {"h": [], "n": 0}, _extend(df, ANOMALY))
-    d = last_n(df, keys, order, value, 10, ["mean"], "__h", limit)
-    d = last_n(d, keys, order, value, 11, ["count"], "__n", limit)
+    fullest = largest_group(df, keys)
+    d = last_n(df, keys, order, value, 10, ["mean"], "__h", limit, fullest)
+    d = last_n(d, keys, order, value, 11, ["count"], "__n", limit, fullest)
     return d.where((F.col("__n_count") > 10) & (F.col(value) > F.col("__h_mean") * 2)).drop("__h_mean", "__n_count").withColumns(
         {"kind": F.lit("consumption_spike"), "confidence": F.lit(0.9)})
 
@@ -157,11 +158,12 @@ def alert_lifecycle(df: DataFrame, keys: Sequence[str] = ("rule_id", "host"), or
         out = _extend(df, "event STRING, first_us BIGINT, last_us BIGINT")
         return keyed_fold(df, keys, order, steps.lifecycle(flag), {"open": None, "seen": None}, out).drop(flag)
     d = df.withColumn("__b", F.coalesce(flag, F.lit(False)))
-    d = previous(d, keys, [F.col(o) for o in order], {"__was": "__b"}, limit)
+    fullest = largest_group(d, keys)
+    d = previous(d, keys, [F.col(o) for o in order], {"__was": "__b"}, limit, fullest)
     was = F.coalesce("__was", F.lit(False))
     d = scan(d, keys, [F.col(o) for o in order], {
         "first_us": ("last", F.when(F.col("__b") & ~was, F.col(order[0]))),
-        "last_us": ("last", F.when(F.col("__b"), F.col(order[0])))}, limit)
+        "last_us": ("last", F.when(F.col("__b"), F.col(order[0])))}, limit, fullest)
     return d.where(F.col("__b") != was).withColumn("event", F.when(F.col("__b"), "open").otherwise("resolve")) \
         .select(*keep, "event", "first_us", "last_us")
 

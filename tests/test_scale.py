@@ -128,6 +128,7 @@ def test_operators_cut_up(hot, rows):
     both(lambda lim: J.zip_series(d, "metric", "hot", "warm", ["sec", "id"], limit=lim), rows, ["pos", "a", "b"])
     both(lambda lim: M.linear_forecast(d, limit=lim), rows, ["metric", "forecast", "confidence"])
     both(lambda lim: M.correlations(d, keep=0.0, limit=lim), rows, ["a", "b", "correlation"])
+    assert rows(M.correlations(d, keep=0.0, block=1), "a", "b", "correlation") == rows(M.correlations(d, keep=0.0), "a", "b", "correlation")
 
 
 def test_place_backups_both_ways(spark, rows):
