@@ -190,6 +190,8 @@ def moving(df: DataFrame, keys: Sequence[str], fns: dict[str, tuple[str, str]],
                  # running order: outwards from the border between the two blocks
                  F.when(home, 2 * F.col("__o")).when(halo, 1 - 2 * F.col("__o"))
                  .otherwise(2 * (width - F.col("__o"))).alias("__z"))
+    # one exchange serves both windows below
+    d = d.repartition(*keys, "__at")
     home, probe = F.col("__k") == 0, F.col("__k") == 2
     run = Window.partitionBy(*keys, "__at", home).orderBy("__z").rangeBetween(Window.unboundedPreceding, 0)
     used = {c: {f for f, x in fns.values() if x == c} for c in cols}
