@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import quality, shards, urls
+from pulsegrid.llm import packing, quality, shards, urls, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,23 @@ def op3(spark, folder):
     return shards.shard(table(spark, folder, "documents"), 24)
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine, as on the workers'."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op4_pack_sequences")
+def op4(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"), 2048)
+
+
+@register("op9_wavelet_files")
+def op9(spark, folder):
+    return wavelet.round_trip(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 STOP_SQL = ", ".join(f"'{s}'" for s in sorted({s for w in quality.STOP_WORDS for s in (w, w.capitalize())}))
 
