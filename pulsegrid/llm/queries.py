@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import packing, quality, shards, urls, wavelet
+from pulsegrid.llm import packing, quality, scoring, shards, urls, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register("op1_backoff_scores")
+def op1(spark, folder):
+    return scoring.score(table(spark, folder, "documents"))
+
+
 @register("op3_shard_vectors")
 def op3(spark, folder):
     return shards.shard(table(spark, folder, "documents"), 24)
