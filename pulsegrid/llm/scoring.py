@@ -76,31 +76,46 @@ class Block:
         return np.repeat(~self.held, np.diff(self.bounds))
 
     def save(self) -> bytes:
-        known, local = np.unique(self.words, return_inverse=True)
+        known, local, count = np.unique(self.words, return_inverse=True, return_counts=True)
+        often = np.argsort(-count, kind="stable")  # small numbers for frequent words
+        place = np.empty(len(known), "<u4")
+        place[often] = np.arange(len(known))
         ids = [self.doc_ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8),
                self.doc_ids.fill_null(0).to_numpy().astype("<i8")]
-        return dump([*ids, self.held.astype(np.uint8), self.bounds.astype("<i8"), known, local.astype("<u4")])
+        return dump([*ids, self.held.astype(np.uint8), np.diff(self.bounds).astype("<i8"), known[often], place[local]])
 
     @classmethod
     def load(cls, raw: bytes) -> Block:
-        valid, ids, held, bounds, known, local = undump(raw)
-        return cls(pa.array(ids, pa.int64(), mask=valid == 0), held.astype(bool), known[local], bounds)
+        valid, ids, held, lengths, known, local = undump(raw)
+        return cls(pa.array(ids, pa.int64(), mask=valid == 0), held.astype(bool), known[local],
+                   np.concatenate([[0], np.cumsum(lengths)]))
 
 
 def dump(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as compressed bytes, all first bytes of an array before all second ones, and so on."""
     head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.char), a.nbytes)], "<i8")
-    return b"".join([head.tobytes(), *[a.tobytes() for a in arrays]])
+    raw = b"".join([head.tobytes(), *[
+        np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays]])
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-def undump(raw: bytes) -> list[np.ndarray]:
+def undump(saved: bytes) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(saved[8:], int(np.frombuffer(saved, "<i8", 1)[0]), asbytes=True)
     (n,) = np.frombuffer(raw, "<i8", 1)
     head, at, out = np.frombuffer(raw, "<i8", 2 * n, 8), 8 + 16 * int(n), []
     for kind, size in head.reshape(-1, 2).tolist():
-        out.append(np.frombuffer(raw, np.dtype(chr(kind)), size // np.dtype(chr(kind)).itemsize, at))
+        dtype = np.dtype(chr(kind))
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(dtype.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
         at += size
     return out
 
 
+def gaps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of sorted hashes, which take fewer bytes; undone by a running sum."""
+    return np.diff(ascending, prepend=U(0))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, Block]]:
     """Blocks of about ``most`` tokens with their numbers, which a repeated task gives again."""
     part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -135,14 +150,14 @@ def totals(docs: DataFrame, buckets: int, block: int) -> tuple[int, int, int]:
             known = np.unique(b.words[trained])
             at = cuts(known, buckets)
             size = dump([np.array([trained.sum(), len(trained)], "<i8")])
-            yield rows([(k, -1, dump([known[at[k]:at[k + 1]]])) for k in range(buckets) if at[k] < at[k + 1]] + [(-1, -1, size)])
+            yield rows([(k, -1, dump([gaps(known[at[k]:at[k + 1]])])) for k in range(buckets) if at[k] < at[k + 1]] + [(-1, -1, size)])
 
     def add(table: pa.Table) -> pa.Table:
         got = [undump(x.as_py())[0] for x in table.column("payload")]
         if table.column("bucket")[0].as_py() < 0:
             n, m = np.sum(got, axis=0).tolist()
             return pa.table({"n": [n], "v": [0], "m": [m]})
-        return pa.table({"n": [0], "v": [len(np.unique(np.concatenate(got)))], "m": [0]})
+        return pa.table({"n": [0], "v": [len(np.unique(np.concatenate([np.cumsum(x, dtype=U) for x in got])))], "m": [0]})
 
     found = (docs.mapInArrow(send, REQUEST).groupBy("bucket").applyInArrow(add, "n long, v long, m long")
              .agg(F.sum("n"), F.sum("v"), F.sum("m")).first())
@@ -174,7 +189,7 @@ def score(docs: DataFrame, order: int = 2, growth: float = 0.95, held: Column |
                     known, count = np.insert(known, i, BEGIN), np.insert(count, i, int((~b.held).sum()))
                 at = cuts(known, buckets)
                 for x in range(buckets):
-                    out[x] += [known[at[x]:at[x + 1]], count[at[x]:at[x + 1]].astype("<u4")]
+                    out[x] += [gaps(known[at[x]:at[x + 1]]), count[at[x]:at[x + 1]].astype("<u4")]
             yield rows([(x, number, dump(a)) for x, a in enumerate(out) if any(len(y) for y in a)])
             # the documents pass through a bucket to their block as they are
             yield rows([((number * 0x9E3779B1) % buckets, ~number, b.save())])
@@ -184,7 +199,7 @@ def score(docs: DataFrame, order: int = 2, growth: float = 0.95, held: Column |
         asked = [(i, undump(x)) for i, x in zip(numbers, raw) if i >= 0]
         replies: list[list[np.ndarray]] = [[] for _ in asked]
         for k in range(order):
-            keys = [a[2 * k] for _, a in asked] or [np.zeros(0, U)]
+            keys = [np.cumsum(a[2 * k], dtype=U) for _, a in asked] or [np.zeros(0, U)]
             _, local = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(local, weights=np.concatenate([a[2 * k + 1] for _, a in asked] or [np.zeros(0)]))
             total = total.astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8")
