@@ -145,12 +145,12 @@ def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 def totals(docs: DataFrame, buckets: int, block: int) -> tuple[int, int, int]:
     """Training tokens, different training tokens, and all tokens of (doc_id, text, held)."""
     def send(batches):
-        for _, b in blocks(batches, block):
+        for number, b in blocks(batches, block):
             trained = b.trained()
             known = np.unique(b.words[trained])
             at = cuts(known, buckets)
             size = dump([np.array([trained.sum(), len(trained)], "<i8")])
-            yield rows([(k, -1, dump([gaps(known[at[k]:at[k + 1]])])) for k in range(buckets) if at[k] < at[k + 1]] + [(-1, -1, size)])
+            yield rows([(k, -1, dump([gaps(known[at[k]:at[k + 1]])])) for k in range(buckets) if at[k] < at[k + 1]] + [(-1 - number % buckets, -1, size)])
 
     def add(table: pa.Table) -> pa.Table:
         got = [undump(x.as_py())[0] for x in table.column("payload")]
