@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import jaccard, packing, quality, scoring, shards, urls, wavelet
+from pulsegrid.llm import jaccard, packing, quality, scoring, shards, toxicity, urls, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,11 @@ def op4(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"), 2048)
 
 
+@register("op6_toxicity_trees")
+def op6(spark, folder):
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @register("op7_signature_join")
 def op7(spark, folder):
     return jaccard.join(table(spark, folder, "documents"))
