@@ -1,10 +1,16 @@
-"""A corpus pipeline in stages, each calling one operator of pulsegrid.llm."""
+"""A corpus pipeline in five stages, each the whole work of one operator of pulsegrid.llm.
+
+Every stage reads what its predecessor kept and is written as Parquet before the next begins,
+so a lost executor costs a part of one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import quality
+from pulsegrid.llm import decontam, jaccard, packing, pii, quality
+from pulsegrid.llm.queries import tokenizer_file
+from pulsegrid.session import scratch_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,13 +18,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the least doc_id stays."""
+    return jaccard.keep(docs, words=5, percent=80)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontam.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts gives way to its kind in brackets; n_chars follows."""
+    return pii.mask(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), 2048)
+
+
+STAGES = [("quality rules", quality_stage), ("n-gram Jaccard join", jaccard_stage),
+          ("benchmark decontamination", benchmark_stage), ("PII", pii_stage), ("best-fit packing", packing_stage)]
+#: The classifier of the PII stage and the packing can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pulsegrid.session import scratch_path
-
+    """Rows of the last stage over the documents in ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, name.replace(" ", "-"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import jaccard, packing, quality, scoring, shards, toxicity, urls, wavelet
+from pulsegrid.llm import decontam, jaccard, packing, pii, quality, scoring, shards, toxicity, urls, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,26 @@ def op1(spark, folder):
     return scoring.score(table(spark, folder, "documents"))
 
 
+PLAIN_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"''()[]{}', 'abcdefghijklmnopqrstuvwxyz              '), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+
+
+@register("op2_spaced_seeds", rf"""
+WITH d AS (SELECT doc_id, {PLAIN_SQL} AS w FROM documents),
+b AS (SELECT item_id, {PLAIN_SQL} AS w FROM benchmark),
+dg AS (SELECT doc_id, unnest(range(len(w) - 3)) AS p, w FROM d WHERE len(w) >= 4),
+bg AS (SELECT item_id, unnest(range(len(w) - 3)) AS q, w FROM b WHERE len(w) >= 13),
+h AS (SELECT DISTINCT doc_id, item_id, p - q AS s FROM (SELECT doc_id, p, array_to_string(w[p+1:p+4], ' ') AS g FROM dg) x
+  JOIN (SELECT item_id, q, array_to_string(w[q+1:q+4], ' ') AS g FROM bg) y USING (g)),
+e AS (SELECT doc_id, item_id, s, len(b.w) AS n, j,
+  CASE WHEN s + j >= 0 AND s + j < len(d.w) AND d.w[greatest(s + j, 0) + 1] = b.w[j + 1] THEN 1 ELSE 0 END AS e
+  FROM h JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(len(b.w))) AS o(j)),
+m AS (SELECT doc_id, item_id, n, j, sum(e) OVER (PARTITION BY doc_id, item_id, s ORDER BY j ROWS 12 PRECEDING) AS m FROM e)
+SELECT doc_id, item_id, max(n) AS item_words, max(m)::BIGINT AS matched FROM m WHERE j >= 12 AND m >= 11 GROUP BY ALL""")
+def op2(spark, folder):
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @register("op3_shard_vectors")
 def op3(spark, folder):
     return shards.shard(table(spark, folder, "documents"), 24)
@@ -60,6 +80,11 @@ def op7(spark, folder):
     return jaccard.join(table(spark, folder, "documents"))
 
 
+@register("op8_weak_pii")
+def op8(spark, folder):
+    return pii.find(table(spark, folder, "documents"))
+
+
 @register("op9_wavelet_files")
 def op9(spark, folder):
     return wavelet.round_trip(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
