@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulsegrid.scale import (GROUP_LIMIT, as_of_column, fold, largest_group, newest, positions, scan)
+from pulsegrid.scale import (GROUP_LIMIT, as_of_column, fold, join_keys, largest_group, newest, positions, scan)
 
 
 def _c(c) -> Column:
@@ -35,7 +35,7 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], col: str, picks: dict, lim
         hit = d.select(*keys, col, rows().over(w).alias("__n"),
                        (F.row_number().over(w.orderBy(col)) - 1).cast("long").alias("__pos"))
     else:
-        hit = positions(d, keys, [F.col(col)], "__pos", limit).join(n, keys)
+        hit = join_keys(positions(d, keys, [F.col(col)], "__pos", limit), n, keys)
     return hit.groupBy(*keys).agg(*[
         F.avg(F.when(F.array_contains(F.array(*fn(F.col("__n"))), F.col("__pos")), F.col(col))).alias(name)
         for name, fn in picks.items()])
@@ -67,7 +67,7 @@ def device_stats(df: DataFrame, keys: Sequence[str] = ("device", "metric"), orde
     if fullest <= (GROUP_LIMIT if limit is None else limit):
         out = p.groupBy(*keys).agg(*base, F.median(value).alias("median"))
     else:
-        out = p.groupBy(*keys).agg(*base).join(median(df, keys, value, "median", limit), keys)
+        out = join_keys(p.groupBy(*keys).agg(*base), median(df, keys, value, "median", limit), keys)
     return out.withColumn("trend", trend_of(F.col("slope"), F.col("n"))).drop("slope")
 
 
@@ -95,7 +95,7 @@ def resample(df: DataFrame, ts="ts", freq="hour", agg="mean", keys: Sequence[str
     filled = df.groupBy(*keys, F.date_trunc(freq, ts).alias("bucket")).agg(fn(value).alias("value"))
     spine = filled.groupBy(*keys).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).select(
         *keys, F.explode(F.sequence("lo", "hi", F.expr(STEP[freq]))).alias("bucket"))
-    out = spine.join(filled, keys + ["bucket"], "left")
+    out = join_keys(spine, filled, keys + ["bucket"], "left")
     return out if agg == "mean" else out.withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
@@ -109,7 +109,7 @@ def hour_profile(df: DataFrame, keys: Sequence[str] = ("metric",), ts="ts", valu
         F.min_by("hour", F.struct("m", "hour")).alias("low_hour"))
     daily = df.groupBy(*keys, F.date_trunc("day", ts).alias("d")).agg(F.avg(value).alias("m")) \
         .groupBy(*keys).agg(F.avg("m").alias("weekly_average"), F.stddev_samp("m").alias("day_std"))
-    return peak.join(daily, keys).withColumns({
+    return join_keys(peak, daily, keys).withColumns({
         "pattern": F.when(F.col("peak_hour").between(9, 17), "business_hours").otherwise("off_hours"),
         "priority": F.when(F.col("weekly_average") > 70, "high").when(F.col("day_std") > 20, "medium").otherwise("normal")})
 
@@ -188,8 +188,8 @@ def merge_labels(samples: DataFrame, key="metric", labels="labels") -> DataFrame
     """Labels present on every sample of a metric: the one value, or ``multiple[k]``."""
     total = samples.groupBy(key).agg(rows().alias("__n"))
     pairs = samples.select(key, F.explode(labels).alias("label", "v")).groupBy(key, "label", "v").agg(rows().alias("c"))
-    merged = pairs.groupBy(key, "label").agg(F.sum("c").alias("c"), rows().alias("k"), F.max("v").alias("v")) \
-        .join(total, key).where("c = __n")
+    merged = join_keys(pairs.groupBy(key, "label").agg(F.sum("c").alias("c"), rows().alias("k"), F.max("v").alias("v")),
+                       total, [key]).where("c = __n")
     return merged.select(key, "label", F.when(F.col("k") == 1, F.col("v")).otherwise(
         F.format_string("multiple[%d]", F.col("k"))).alias("value"))
 
@@ -197,8 +197,8 @@ def merge_labels(samples: DataFrame, key="metric", labels="labels") -> DataFrame
 def common_keys(samples: DataFrame, key="metric", labels="labels") -> DataFrame:
     """Label keys that every sample of a metric carries."""
     total = samples.groupBy(key).agg(rows().alias("__n"))
-    return samples.select(key, F.explode(F.map_keys(labels)).alias("label")).groupBy(key, "label") \
-        .agg(rows().alias("c")).join(total, key).where("c = __n").select(key, "label")
+    counts = samples.select(key, F.explode(F.map_keys(labels)).alias("label")).groupBy(key, "label").agg(rows().alias("c"))
+    return join_keys(counts, total, [key]).where("c = __n").select(key, "label")
 
 
 def source_nodes(samples: DataFrame, key="metric", node="node") -> DataFrame:
@@ -380,7 +380,7 @@ def head_tail(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
     d = df.where(F.col(col).isNotNull())
     head = newest(d, keys, [F.asc(o) for o in order], n, limit).groupBy(*keys).agg(F.avg(col).alias("head_mean"))
     tail = newest(d, keys, [F.desc(o) for o in order], n, limit).groupBy(*keys).agg(F.avg(col).alias("tail_mean"))
-    return head.join(tail, keys)
+    return join_keys(head, tail, keys)
 
 
 def metric_outlook(df: DataFrame, keys: Sequence[str] = ("metric",), order: Sequence[str] = ("ts", "event_id"),
@@ -389,7 +389,7 @@ def metric_outlook(df: DataFrame, keys: Sequence[str] = ("metric",), order: Sequ
     keys = list(keys)
     base = df.groupBy(*keys).agg(F.avg(col).alias("average"), F.stddev_pop(col).alias("volatility"))
     ht = head_tail(df, keys, order, 24, col, limit)
-    return base.join(ht, keys).withColumn(
+    return join_keys(base, ht, keys).withColumn(
         "trend", F.when(F.col("tail_mean") < F.col("head_mean"), "improving").otherwise("stable")).drop("head_mean", "tail_mean")
 
 

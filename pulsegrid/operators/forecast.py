@@ -16,7 +16,7 @@ from pulsegrid.operators.forest import anomaly_intervals
 from pulsegrid.operators.joins import lag_at
 from pulsegrid.operators.predicates import ffill
 from pulsegrid.operators.windows import nth_last, rolling
-from pulsegrid.scale import positions
+from pulsegrid.scale import join_keys, positions
 
 FEATURES = ("hour", "day_of_week", "is_weekend", "rolling_mean", "rolling_std", "day_mean", "lag_1h", "lag_6h")
 
@@ -81,7 +81,7 @@ def sequence_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         d = ffill(d, [col], keys, order, "bfill", limit).dropna(subset=[col])
     ends = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("s_min"), F.max(col).alias("s_max"))
     span = F.col("s_max") - F.col("s_min")
-    d = positions(d, keys, [F.col(o) for o in order], "__at", limit).join(ends, keys).select(
+    d = join_keys(positions(d, keys, [F.col(o) for o in order], "__at", limit), ends, keys).select(
         *keys, *order, "__at", "n", "s_min", "s_max",
         ((F.col(col) - F.col("s_min")) / F.when(span > 0, span).otherwise(1.0)).alias("s"))
     here = F.floor(F.col("__at") / piece)
@@ -140,7 +140,7 @@ def sequence_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         F.first("s_min").alias("s_min"), F.first("s_max").alias("s_max"))
     roll = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.transform("tail", lambda t: t["s"]),
                        lambda acc, i: F.concat(acc, F.array(dot(F.slice(acc, -lookback, lookback), F.col("w")))))
-    out = last.join(models, keys) \
+    out = join_keys(last, models, keys) \
         .select(*keys, "last", "s_min", "s_max", "test_rmse", F.posexplode(F.slice(roll, lookback + 1, horizon)).alias("step", "s"))
     out = stats.minmax_inverse(out, "s", "s", "predicted")
     return out.select(*keys, (F.col("step") + 1).alias("step"),

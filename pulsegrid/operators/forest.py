@@ -18,7 +18,7 @@ from pulsegrid.operators.kernels import SAMPLE
 from pulsegrid.operators.predicates import ffill
 from pulsegrid.operators.stats import standard_scale
 from pulsegrid.operators.windows import anomaly_islands
-from pulsegrid.scale import GROUP_LIMIT, largest_group
+from pulsegrid.scale import GROUP_LIMIT, join_keys, largest_group
 from pulsegrid.session import cut, spread
 
 SPREAD_ROWS = 5_000_000  # inputs below this may sit in too few splits to score in parallel
@@ -44,7 +44,7 @@ def fit_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id: Sequ
     arc = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("__n")) * span
     # the golden ratio spreads any number of starting angles evenly
     angle = F.col("tree").cast("long") * int(span * 0.6180339887498949)
-    drawn = (df.select(*keys, *cols, *[c for c in id if c not in keys + cols]).join(n, keys)
+    drawn = (join_keys(df.select(*keys, *cols, *[c for c in id if c not in keys + cols]), n, keys)
              .withColumn("__u", F.pmod(F.xxhash64(*id, F.lit(seed)), F.lit(span)))
              .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
              .where(F.pmod(F.col("__u") + angle, F.lit(span)) < arc)
@@ -82,14 +82,16 @@ def score_forest(df: DataFrame, forest: DataFrame, keys: Sequence[str], cols: Se
         return pdf.assign(score=kernels.score(pdf[cols].to_numpy(dtype=float), model))
 
     if len(forest.select(*keys).distinct().take(broadcast_keys + 1)) <= broadcast_keys:
-        models = {k if isinstance(k, tuple) else (k,): kernels.as_trees(list(g.sort_values("tree").itertuples())) for k, g in forest.toPandas().groupby(keys, dropna=False)}
+        def series(k):
+            return tuple(None if pd.isna(x) else x for x in (k if isinstance(k, tuple) else (k,)))
+
+        models = {series(k): kernels.as_trees(list(g.sort_values("tree").itertuples())) for k, g in forest.toPandas().groupby(keys, dropna=False)}
         shared = df.sparkSession.sparkContext.broadcast(models)
 
         def run(batches):
             for pdf in batches:
-                parts = [score(g, shared.value[k if isinstance(k, tuple) else (k,)])
-                         for k, g in pdf.groupby(keys, sort=False)
-                         if (k if isinstance(k, tuple) else (k,)) in shared.value]
+                parts = [score(g, shared.value[series(k)]) for k, g in pdf.groupby(keys, sort=False, dropna=False)
+                         if series(k) in shared.value]
                 if parts:
                     yield pd.concat(parts)
 
@@ -115,8 +117,8 @@ def quantile_cut(df: DataFrame, keys: Sequence[str], col: str, share: float, out
     if largest_group(df, keys) <= (GROUP_LIMIT if limit is None else limit):
         return df.groupBy(*keys).agg(F.percentile(col, F.lit(share)).alias(out))
     n = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(_rows().alias("__n"))
-    at = value_at_rank(df, keys, col, {"__lo": lambda n: [F.floor((n - 1) * share)],
-                                       "__hi": lambda n: [F.ceil((n - 1) * share)]}, limit).join(n, list(keys))
+    at = join_keys(value_at_rank(df, keys, col, {"__lo": lambda n: [F.floor((n - 1) * share)],
+                                                 "__hi": lambda n: [F.ceil((n - 1) * share)]}, limit), n, keys)
     place = (F.col("__n") - 1) * share
     return at.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (place - F.floor(place))).alias(out))
 
@@ -129,13 +131,13 @@ def isolation_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id
     keys = list(keys)
     d = df.dropna(subset=list(cols))
     sizes = d.groupBy(*keys).agg(_rows().alias("__n")).where(F.col("__n") >= min_rows)
-    d = d.join(sizes.select(*keys), keys, "left_semi")
+    d = join_keys(d, sizes.select(*keys), keys, "left_semi")
     if (sizes.agg(F.sum("__n")).first()[0] or 0) < SPREAD_ROWS:
         d = spread(d, *id)
     forest = cut(fit_forest(d, keys, cols, id, trees, seed))
     scored = cut(score_forest(d, forest, keys, cols, limit))
     offset = quantile_cut(scored, keys, "score", contamination, "__offset", limit)
-    return scored.join(offset, keys).withColumn("decision", F.col("score") - F.col("__offset")).drop("__offset").withColumns({
+    return join_keys(scored, offset, keys).withColumn("decision", F.col("score") - F.col("__offset")).drop("__offset").withColumns({
         "is_anomaly": F.col("decision") < 0,
         "severity": F.when(F.col("decision") < 0, F.when(F.col("decision") < high_below, "high").otherwise("medium"))})
 

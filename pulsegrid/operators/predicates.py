@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pulsegrid.scale import as_of_column, largest_group, scan
+from pulsegrid.scale import as_of_column, join_keys, largest_group, scan
 
 
 def _c(c) -> Column:
@@ -76,7 +76,7 @@ def breaches(value, op, threshold) -> Column:
 def min_points(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Rows of keys that have at least ``n`` rows."""
     enough = df.groupBy(*keys).count().where(F.col("count") >= n).drop("count")
-    return df.join(enough, list(keys), "left_semi")
+    return join_keys(df, enough, keys, "left_semi")
 
 
 def match_containers(df: DataFrame, status: str | None = None, label: str | None = None,

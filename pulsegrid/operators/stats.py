@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pulsegrid.functions.scalars import future_grid
 from pulsegrid.operators.aggregates import head_tail, resample
-from pulsegrid.scale import positions
+from pulsegrid.scale import join_keys, positions
 from pulsegrid.session import cut
 
 
@@ -21,7 +21,7 @@ def rows() -> Column:
 def sigma_outliers(df: DataFrame, keys: Sequence[str], col="value", k: float = 2.0) -> DataFrame:
     """Rows more than ``k`` population deviations from the mean of their key; three rows needed."""
     s = df.groupBy(*keys).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), rows().alias("__n"))
-    return df.join(s.where("__n >= 3").drop("__n"), list(keys)).where(F.abs(F.col(col) - F.col("mean")) > k * F.col("std"))
+    return join_keys(df, s.where("__n >= 3").drop("__n"), keys).where(F.abs(F.col(col) - F.col("mean")) > k * F.col("std"))
 
 
 def deviation_severity(df: DataFrame, keys: Sequence[str], col="value", flag="is_anomaly") -> DataFrame:
@@ -48,7 +48,7 @@ def minmax_scale(df: DataFrame, keys: Sequence[str], col: str, out: str) -> Data
     """To [0, 1] per key; keeps ``<out>_min`` and ``<out>_max`` for the inverse."""
     s = df.groupBy(*keys).agg(F.min(col).alias(f"{out}_min"), F.max(col).alias(f"{out}_max"))
     span = F.col(f"{out}_max") - F.col(f"{out}_min")
-    return df.join(s, list(keys)).withColumn(out, (F.col(col) - F.col(f"{out}_min")) / F.when(span > 0, span).otherwise(1.0))
+    return join_keys(df, s, keys).withColumn(out, (F.col(col) - F.col(f"{out}_min")) / F.when(span > 0, span).otherwise(1.0))
 
 
 def minmax_inverse(df: DataFrame, scaled: str, prefix: str, out: str) -> DataFrame:
@@ -67,11 +67,11 @@ def trend_forecast(df: DataFrame, hours: int = 24, keys: Sequence[str] = ("metri
     grid = resample(df, ts, "hour", "mean", keys, value)
     ends = grid.groupBy(*keys).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"), rows().alias("hours"))
     x = ((F.unix_micros("bucket") - F.unix_micros("lo")) / 3_600_000_000).cast("double")
-    fit = grid.join(ends, keys).where("value IS NOT NULL").withColumn("x", x).groupBy(*keys).agg(
+    fit = join_keys(join_keys(grid, ends, keys).where("value IS NOT NULL").withColumn("x", x).groupBy(*keys).agg(
         F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"),
         F.coalesce(F.regr_r2("value", "x"), F.lit(0.0)).alias("r2"), F.var_pop("value").alias("var"),
-        F.first("hours").alias("hours"), F.first("hi").alias("hi")).where("hours >= 20") \
-        .join(enough.select(*keys), keys, "left_semi")
+        F.first("hours").alias("hours"), F.first("hi").alias("hi")).where("hours >= 20"),
+        enough.select(*keys), keys, "left_semi")
     sigma = F.sqrt(F.greatest(F.lit(0.0), F.col("var") * (1 - F.col("r2"))))
 
     def at(step):
@@ -162,7 +162,7 @@ def performance_trends(df: DataFrame, keys: Sequence[str] = ("metric",), order:
     fit = line_fit(df, keys, order, value, limit).where("n >= 20").where(F.abs("r") > 0.7)
     ht = head_tail(df, keys, order, 10, value, limit)
     chg = F.when(F.col("head_mean") > 0, (F.col("tail_mean") - F.col("head_mean")) / F.col("head_mean") * 100).otherwise(0.0)
-    return (fit.join(ht, keys).withColumns({"change_pct": chg, "p_value": correlation_p("r", F.col("n").cast("double"))})
+    return (join_keys(fit, ht, keys).withColumns({"change_pct": chg, "p_value": correlation_p("r", F.col("n").cast("double"))})
             .where("p_value < 0.05").where(F.abs("change_pct") > 20)
             .withColumns({"direction": F.when(F.col("slope") > 0, "increasing").otherwise("decreasing"),
                           "severity": F.when(F.abs("change_pct") > 50, "critical").otherwise("warning"),
@@ -175,7 +175,7 @@ def capacity_plan(df: DataFrame, keys: Sequence[str] = ("metric",), order: Seque
     """Growth from the first to the last 24 rows, days until 90 percent, 30-day projection."""
     keys = list(keys)
     n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(rows().alias("n")).where(F.col("n") >= min_rows)
-    d = n.join(head_tail(df, keys, order, 24, value, limit), keys)
+    d = join_keys(n, head_tail(df, keys, order, 24, value, limit), keys)
     growth = F.try_divide(F.col("tail_mean") - F.col("head_mean"), F.col("head_mean")) * 100
     return (d.withColumn("growth_pct", growth).where("growth_pct > 0")
             .withColumns({"current": F.col("tail_mean"), "days_to_90": (90 - F.col("tail_mean")) / (F.col("growth_pct") / 7),

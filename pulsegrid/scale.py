@@ -35,6 +35,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if seen <= rows else df
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null: a series without a host is a series too."""
+    keys = list(keys)
+    if not keys:
+        return left.join(right, how=how)
+    theirs = right.select(*[F.col(f"`{c}`").alias(f"__their_{c}") if c in keys else F.col(f"`{c}`") for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"__their_{k}")) for k in keys]
+    return left.join(theirs, same, how).drop(*[f"__their_{k}" for k in keys])
+
+
 def _fits(df: DataFrame, keys: Sequence[str], limit: int | None, fullest: int | None) -> bool:
     """Does every key stay within the limit?  ``fullest`` spares the count when known."""
     return (largest_group(df, keys) if fullest is None else fullest) <= (GROUP_LIMIT if limit is None else limit)
@@ -146,10 +156,10 @@ def over_range(df: DataFrame, keys: Sequence[str], ts: str, span_s: float,
     size = int((piece_s or span_s * 4) * 1_000_000)
     home = F.floor(us / size)
     pieces = df.withColumn("__home", home).withColumn(
-        "__piece", F.explode(F.sequence(home, F.floor((us + span) / size))))
+        "__piece", F.explode_outer(F.sequence(home, F.floor((us + span) / size))))  # a row without a time stays
     w = Window.partitionBy(*keys, "__piece").orderBy(us)
     return (pieces.select("*", *[c.alias(n) for n, c in exprs(w).items()])
-            .where("__piece = __home").drop("__home", "__piece"))
+            .where("__piece <=> __home").drop("__home", "__piece"))
 
 
 def moving(df: DataFrame, keys: Sequence[str], fns: dict[str, tuple[str, str]], ts: str | None = None,
@@ -292,23 +302,23 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     on = keys + ["__piece"]
     entry = cut(pieces.select(*on).distinct().withColumn("__entry", F.lit(zero_text)))
-    exits = cut(pieces.join(entry, on).groupBy(*on).applyInPandas(leave, exit_schema))
+    exits = cut(join_keys(pieces, entry, on).groupBy(*on).applyInPandas(leave, exit_schema))
     w = Window.partitionBy(*keys).orderBy("__piece")
     while True:
         due = exits.select(*on, F.coalesce(F.lag("__exit").over(w), F.lit(zero_text)).alias("__due"))
-        nxt = cut(entry.join(due, on))
+        nxt = cut(join_keys(entry, due, on))
         changed = nxt.where("__due <> __entry").select(*on, F.col("__due").alias("__entry"))
         entry = nxt.select(*on, F.col("__due").alias("__entry"))
         if changed.isEmpty():
             break
-        again = pieces.join(changed, on).groupBy(*on).applyInPandas(leave, exit_schema)
-        exits = cut(exits.join(changed.select(*on), on, "left_anti").unionByName(again))
+        again = join_keys(pieces, changed, on).groupBy(*on).applyInPandas(leave, exit_schema)
+        exits = cut(join_keys(exits, changed.select(*on), on, "left_anti").unionByName(again))
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         return step(rows[names], json.loads(rows["__entry"].iloc[0]))[0][out.names]
 
-    return pieces.join(entry, on).groupBy(*on).applyInPandas(emit, out)
+    return join_keys(pieces, entry, on).groupBy(*on).applyInPandas(emit, out)
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,

@@ -225,12 +225,24 @@ def batch_stats(df: DataFrame, keys: Sequence[str] = ("device", "metric"), minut
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev")).withColumn("start", F.col("window.start")).drop("window")
 
 
-def window_rules(df: DataFrame, op: str, threshold: float, keys: Sequence[str] = ("host",), minutes: int = 5, slide: int = 1,
+def window_means(df: DataFrame, keys: Sequence[str] = ("host",), minutes: int = 5, slide: int = 1,
                  ts="ts", value="value", watermark: str = "10 minutes") -> DataFrame:
-    """Sliding window means that breach a rule."""
+    """Sliding window means."""
     d = df.withWatermark(ts, watermark) if df.isStreaming else df
     means = d.groupBy(*keys, F.window(ts, f"{minutes} minutes", f"{slide} minutes")).agg(F.avg(value).alias("mean"))
-    return means.where(breaches("mean", F.lit(op), F.lit(threshold))).withColumn("end", F.col("window.end")).drop("window")
+    return means.withColumn("end", F.col("window.end")).drop("window")
+
+
+def window_rules(df: DataFrame, op: str, threshold: float, keys: Sequence[str] = ("host",), minutes: int = 5, slide: int = 1,
+                 ts="ts", value="value", watermark: str = "10 minutes") -> DataFrame:
+    """Sliding window means that breach a rule.
+
+    A stream's means still change, so its rule is applied to the newest mean of each window, after
+    the stream: a breach that a later batch takes back is none."""
+    means = window_means(df, keys, minutes, slide, ts, value, watermark)
+    if df.isStreaming:
+        means = run_update(means, [*keys, "end"])
+    return means.where(breaches("mean", F.lit(op), F.lit(threshold)))
 
 
 def dedupe_alerts(df: DataFrame, key: str = "fingerprint", ts="ts", watermark: str = "1 hour", order: Sequence[str] = ()) -> DataFrame:

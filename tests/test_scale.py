@@ -84,14 +84,14 @@ def test_newest(hot, rows):
     (steps.recovery(3), {"n": 0, "blocked": False}, "action string, attempts long", ["action", "attempts"]),
 ])
 def test_fold(hot, rows, step, zero, out, extra):
-    d = hot.where("k is not null").select("id", "k", (F.col("sec") * 1_000_000).alias("us"), (F.coalesce("v", F.lit(0.0)) < 60).alias("success"))
+    d = hot.select("id", "k", (F.col("sec") * 1_000_000).alias("us"), (F.coalesce("v", F.lit(0.0)) < 60).alias("success"))
     schema = "id long, k string, us long, success boolean, " + out
     both(lambda lim: scale.fold(d, ["k"], ["us", "id"], step, zero, schema, lim), rows, ["id", *extra])
 
 
 def test_ema_cut_up(hot, rows):
     from pulsegrid.operators.aggregates import ema
-    d = hot.where("k is not null").select("id", "k", "sec", F.coalesce("v", F.lit(0.0)).alias("v"))
+    d = hot.select("id", "k", "sec", F.coalesce("v", F.lit(0.0)).alias("v"))
     got = both(lambda lim: ema(d, ["k"], ["sec", "id"], "v", limit=lim), rows, ["id", "ema"])
     e, want = {}, []
     for r in sorted(d.collect(), key=lambda r: (r.sec, r.id)):
@@ -102,20 +102,20 @@ def test_ema_cut_up(hot, rows):
 
 def test_value_at_rank_and_median(hot, rows):
     from pulsegrid.operators.aggregates import median
-    d = hot.where("k is not null")
+    d = hot
     got = both(lambda lim: median(d, ["k"], "v", "m", lim), rows, ["k", "m"])
     assert got == rows(d.groupBy("k").agg(F.median("v").alias("m")), "k", "m")
 
 
 def test_quantile_cut(hot, rows):
     from pulsegrid.operators.forest import quantile_cut
-    both(lambda lim: quantile_cut(hot.where("k is not null"), ["k"], "v", 0.1, "q", lim), rows, ["k", "q"])
+    both(lambda lim: quantile_cut(hot, ["k"], "v", 0.1, "q", lim), rows, ["k", "q"])
 
 
 def test_operators_cut_up(hot, rows):
     """Operators built on the helpers, with the cut-up path forced."""
     from pulsegrid.operators import aggregates as G, joins as J, predicates as P, stats as M, windows as W
-    d = hot.where("k is not null").withColumnRenamed("k", "metric").withColumn("value", F.coalesce("v", F.lit(1.0))).withColumn("event_id", F.col("id"))
+    d = hot.withColumnRenamed("k", "metric").withColumn("value", F.coalesce("v", F.lit(1.0))).withColumn("event_id", F.col("id"))
     both(lambda lim: P.ffill(d, ["v"], ["metric"], ["sec", "id"], "bfill", lim), rows, ["id", "v"])
     both(lambda lim: G.running_mean(d, ["metric"], ["sec", "id"], limit=lim), rows, ["id", "running_mean"])
     both(lambda lim: G.device_stats(d, ["metric"], limit=lim), rows, ["metric", "n", "mean", "median", "stdev", "trend"])
@@ -170,3 +170,19 @@ def test_moving_over_rows_equals_sliding_frames(hot, rows, n, limit):
     # the series jumps between 25 and 1e6, and small spreads inside must survive that
     for g, x in zip(got, want):
         assert g[2] == pytest.approx(x[2], rel=1e-9) and (g[3] is x[3] is None or g[3] == pytest.approx(x[3], rel=1e-9, abs=1e-9))
+
+
+def test_series_without_a_key_are_series(spark, rows):
+    """Operators that join statistics back keep the series whose key is null."""
+    from pulsegrid.operators.aggregates import resample
+    from pulsegrid.operators.forest import isolation_forest
+    from pulsegrid.operators.predicates import min_points
+    from pulsegrid.operators.stats import minmax_scale, sigma_outliers
+    d = spark.range(60).select(
+        "id", F.when(F.col("id") % 2 == 0, "a").alias("k"), F.timestamp_seconds(F.col("id") * 1800).alias("ts"),
+        F.when(F.col("id").isin(20, 21), 500.0).otherwise(F.col("id") % 7).cast("double").alias("v"))
+    grid = resample(d, "ts", "hour", "sum", ["k"], "v").where("k is null")
+    assert grid.count() == 30 and grid.agg(F.sum("value")).first()[0] == d.where("k is null").agg(F.sum("v")).first()[0]
+    assert rows(sigma_outliers(d, ["k"], "v"), "id") == [(20,), (21,)]
+    assert minmax_scale(d, ["k"], "v", "s").count() == 60 and min_points(d, ["k"], 5).count() == 60
+    assert isolation_forest(d, ["k"], ["v"], ["id"], trees=20).count() == 60
