@@ -112,8 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> D
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = tokens.encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for some in tokens.slices(batch):
                 ids, bounds = code(some.column("text"))
                 ids, lengths = np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1
                 n = -(-lengths // capacity)

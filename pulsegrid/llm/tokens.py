@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,16 @@ def flat(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of a column of texts, of one row at least."""
+    _, bounds = flat(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true bytes; a text's bounds end a run."""
     n = len(inside)

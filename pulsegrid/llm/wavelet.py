@@ -172,14 +172,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in tokens.slices(batch):
                 ids, bounds = code(some.column("text"))
                 lengths = np.diff(bounds) + 1
-                ids = np.insert(ids, bounds[1:], end_id)
-                held.append((some.column("doc_id").to_pylist(), lengths, ids.astype(np.uint32)))
-                if sum(len(h[2]) for h in held) >= shard_ids:
-                    yield shard()
+                ids = np.insert(ids, bounds[1:], end_id).astype(np.uint32)
+                doc_ids, ends, a = some.column("doc_id").to_pylist(), np.cumsum(lengths), 0
+                while a < len(doc_ids):  # up to the document that fills the shard
+                    begin = int(ends[a] - lengths[a])
+                    room = shard_ids - sum(len(h[2]) for h in held)
+                    b = min(len(doc_ids), int(np.searchsorted(ends, begin + room)) + 1)
+                    held.append((doc_ids[a:b], lengths[a:b], ids[begin:ends[b - 1]]))
+                    if sum(len(h[2]) for h in held) >= shard_ids:
+                        yield shard()
+                    a = b
         if held:
             yield shard()
 
