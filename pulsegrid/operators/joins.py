@@ -172,7 +172,9 @@ def place_backups(ops: DataFrame, locations: DataFrame, size="size", default: st
                              F.struct("priority", "location").alias("__loc"))
     best = scan(packed.unionByName(steps, allowMissingColumns=True).withColumn("__all", F.lit(0)), ["__all"],
                 [F.desc("__at"), F.asc("__kind")], {"__best": ("min", F.col("__loc"))})
-    return best.where("__kind = 0").select("__row.*", F.coalesce("__best.location", F.lit(default)).alias("location"))
+    # a null size comes after every location in the order, but fits none
+    fit = F.when(F.col("__at").isNotNull(), F.col("__best.location"))
+    return best.where("__kind = 0").select("__row.*", F.coalesce(fit, F.lit(default)).alias("location"))
 
 
 def lag_at(df: DataFrame, keys: Sequence[str], ts: str, col: str, offset_s: int, out: str,

@@ -134,10 +134,11 @@ def test_operators_cut_up(hot, rows):
 def test_place_backups_both_ways(spark, rows):
     from pulsegrid.operators.joins import place_backups
     loc = spark.createDataFrame([("a", 2, 100.0), ("b", 1, 50.0), ("c", 3, 1000.0), ("d", 1, 12.0)], "location string, priority int, free double")
-    ops = spark.createDataFrame([(i, float(s)) for i, s in enumerate([1, 10, 10.5, 40, 41.7, 80, 84, 500, 5000])], "id int, size double")
+    sizes = [1.0, 10.0, 10.5, 40.0, 41.7, 80.0, 84.0, 500.0, 5000.0, None]
+    ops = spark.createDataFrame(list(enumerate(sizes)), "id int, size double")
     want = rows(place_backups(ops, loc), "id", "location")
     assert want == rows(place_backups(ops, loc, bound=1), "id", "location")
-    assert dict(want) == {0: "b", 1: "b", 2: "b", 3: "b", 4: "a", 5: "a", 6: "c", 7: "c", 8: "default"}
+    assert dict(want) == {0: "b", 1: "b", 2: "b", 3: "b", 4: "a", 5: "a", 6: "c", 7: "c", 8: "default", 9: "default"}
 
 
 def test_small_and_largest_group(spark):
