@@ -43,11 +43,13 @@ def fit_forest(df: DataFrame, keys: Sequence[str], cols: Sequence[str], id: Sequ
     span = 1 << 31
     arc = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("__n")) * span
     # the golden ratio spreads any number of starting angles evenly
-    angle = F.col("tree").cast("long") * int(span * 0.6180339887498949)
+    golden = int(span * 0.6180339887498949)
+    # only the trees whose arc holds the row: none for most rows of a long series
+    there = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                     lambda t: F.pmod(F.col("__u") + t.cast("long") * golden, F.lit(span)) < F.col("__arc"))
     drawn = (join_keys(df.select(*keys, *cols, *[c for c in id if c not in keys + cols]), n, keys)
-             .withColumn("__u", F.pmod(F.xxhash64(*id, F.lit(seed)), F.lit(span)))
-             .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-             .where(F.pmod(F.col("__u") + angle, F.lit(span)) < arc)
+             .withColumn("__u", F.pmod(F.xxhash64(*id, F.lit(seed)), F.lit(span))).withColumn("__arc", arc)
+             .withColumn("tree", F.explode(there)).drop("__u", "__arc")
              .withColumn("__h", F.xxhash64(*id, "tree", F.lit(seed))))
     w = Window.partitionBy(*keys, "tree").orderBy("__h", *id)
     sample = drawn.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= SAMPLE)
