@@ -20,12 +20,18 @@ from pulsegrid.streaming import steps
 
 # --- running streams ------------------------------------------------------
 
+#: Bytes of files in a batch of a file stream.
+BATCH = 256 << 20
+
+
 def events_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_trigger: int | None = None) -> DataFrame:
-    """The event files of a folder as a stream, with a zoned timestamp for watermarks."""
+    """The event files of a folder as a stream, with a zoned timestamp for watermarks.
+
+    A batch takes ``files_per_trigger`` files, or else as many whole files as :data:`BATCH` bytes hold, so
+    that a long backlog does not become one batch."""
     schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
     r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
-    if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    r = r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r.option("maxBytesPerTrigger", BATCH)
     return r.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -226,3 +226,16 @@ def test_breaker_stats(spark):
                               "event_id long, k string, us long, success boolean, response_time double, state string, executed boolean")
     r = St.breaker_stats(d, ["k"], F.timestamp_seconds(F.lit(410))).first()
     assert (r.requests, r.success_rate, r.avg_response, r.state) == (2, 50.0, 300.0, "closed")
+
+
+@pytest.mark.parametrize("size, batches", [(1, 3), (1 << 30, 1)])
+def test_a_backlog_is_taken_in_batches_of_bounded_bytes(spark, tmp_path, monkeypatch, size, batches):
+    monkeypatch.setattr(St, "BATCH", size)
+    (spark.range(90, numPartitions=3)
+     .selectExpr("id AS event_id", "timestamp_ntz'2025-01-01 00:00:00' AS ts", "id AS user_id", "'view' AS event_type",
+                 "double(id) AS value", "'{}' AS props").write.parquet(f"{tmp_path}/in"))
+    q = (St.events_stream(spark, f"{tmp_path}/in", "*.parquet").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+         .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == batches
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 90
