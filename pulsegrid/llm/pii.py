@@ -34,7 +34,8 @@ PATTERNS = (
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     r"(?<![0-9A-Za-z.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
 )
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: Zeros before a number are allowed, and a part may be zeros alone.
+_BYTE = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 IP = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
 MAIL_ENDS = r"(?i)\.(com|org|net|edu|gov|io|info|de|fr|es|uk|eu|ch|at|it|nl)$"
 CARD_STARTS = r"^(4|5[1-5]|2[2-7]|34|37|35|36|38|6011|65)"

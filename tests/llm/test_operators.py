@@ -239,6 +239,17 @@ def test_personal_data(spark, docs, odd, empty):
     assert masked[2] == "é@é.com [EMAIL]." and masked[4] is None and "[PHONE]+" in masked[7]
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "00.1.2.3", "192.168.0.1 and 127.0.0.1", "256.0.0.1", "0.0.0.256 100.020.003.000", "000.00.0.0300",
+             "8.8.8.8", "0.1.2", "at 10.0.0.255, 010.0.0.00256"]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: base_spans(t) for i, t in enumerate(texts)}
+    got = {r.doc_id: (r.n_ip, r.base_sha256) for r in pii.find(own).collect()}
+    assert got == {i: (len(w), hashlib.sha256(",".join(f"{KINDS[k][0]}:{a}:{b}" for a, k, b in w).encode()).hexdigest()) for i, w in want.items()}
+    assert [len(want[i]) for i in range(6)] == [1, 1, 1, 2, 0, 1]
+    assert {r.doc_id: r.text for r in pii.mask(own).collect()}[3] == "[IP] and [IP]"
+
+
 def test_reliabilities_follow_agreement():
     good, bad = (1, 1, 1, -1, -1, 1), (0, 0, 0, -1, -1, 0)
     _, chance, post = pii.reliabilities([(good, (0, 1), 50), (bad, (0, 1), 50), ((0, 1, 1, -1, -1, 1), (0, 1), 3)])
