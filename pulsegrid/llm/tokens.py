@@ -129,8 +129,10 @@ class Encoder:
 
     A chunk is what byte-pair merging can't cross: a word, for a file that drops white space;
     a word with the spaces and line feeds before it, for byte-level BPE, where a text with any
-    other white space is encoded whole.  Chunks new to a worker are encoded many at a time as
-    one text, and its ids dealt back: by their known bytes, or at a mark between words.
+    other white space is encoded whole.  So is, for both, a text that holds an added token's string,
+    which the library finds before anything else and may take with what is around it.  Chunks new
+    to a worker are encoded many at a time as one text, and its ids dealt back: by their known
+    bytes, or at a mark between words.
     ``room``: chunks kept between batches."""
 
     def __init__(self, path: str, room: int = 1_500_000):
@@ -138,7 +140,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = [t.content.encode() for t in added]
+        # one looked for in normalized text may be in any text
+        self.anywhere = self.tokenizer.normalizer is not None and any(t.normalized for t in added)
         self.spaced = len(self.one(" ")) > 0
         self.mark = next(((m, self.one(m)[0]) for m in "¶§~0" if len(self.one(m)) == 1), None)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -150,6 +155,10 @@ class Encoder:
     def one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def holds(self, text: bytes) -> bool:
+        """May the library find an added token in a text?"""
+        return self.anywhere or any(x in text for x in self.added)
+
     def forget(self):
         self.keys, self.bounds, self.ids = pd.Index(np.zeros(0, U)), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
@@ -166,7 +175,11 @@ class Encoder:
         for k in range(0, len(groups), 64):
             some = groups[k:k + 64]
             between = b"" if self.spaced else b" " + mark + b" "
-            texts = [between.join(chunks[i] for i in g).decode() for g in some]
+            joint = [(g, x, self.holds(x)) for g in some for x in [between.join(chunks[i] for i in g)]]
+            for i in (i for g, _, added in joint if added for i in g):  # these can't be dealt back
+                out[i] = np.array(self.one(chunks[i].decode()), np.uint32)
+            some = [g for g, _, added in joint if not added]
+            texts = [x.decode() for _, x, added in joint if not added]
             for g, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, np.uint32)
                 if self.spaced:
@@ -214,22 +227,36 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(self.bounds[place] - total[:-1], lengths) + np.arange(total[-1])]
         cut = total[np.searchsorted(starts, bounds)]
-        return self._whole(data, bounds, ids, cut) if self.spaced else (ids, cut)
+        return self._whole(data, bounds, ids, cut)
 
     def _whole(self, data, bounds, ids, cut):
-        """Encode anew, whole, the texts that have rare white space."""
-        odd = ((data < 32) & (data != 10)) | (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))
-        count = np.concatenate([[0], np.cumsum(odd)])
-        maybe = np.flatnonzero(count[bounds[1:]] > count[bounds[:-1]])
-        raw = {i: data[bounds[i]:bounds[i + 1]].tobytes().decode() for i in maybe.tolist()}
-        raw = {i: x for i, x in raw.items() if RARE_SPACE.search(x)}
-        if not raw:
+        """Encode anew, whole, the texts that have rare white space, for byte-level BPE, or an added token."""
+        again = np.full(len(bounds) - 1, self.anywhere)
+        again[self._adding(data, bounds)] = True
+        if self.spaced:
+            odd = ((data < 32) & (data != 10)) | (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))
+            count = np.concatenate([[0], np.cumsum(odd)])
+            maybe = np.flatnonzero((count[bounds[1:]] > count[bounds[:-1]]) & ~again)
+            again[[i for i in maybe.tolist() if RARE_SPACE.search(data[bounds[i]:bounds[i + 1]].tobytes().decode())]] = True
+        if not again.any():
             return ids, cut
         parts = [ids[a:b] for a, b in zip(cut[:-1], cut[1:])]
-        for i, x in raw.items():
-            parts[i] = np.array(self.one(x), np.uint32)
+        for i in np.flatnonzero(again).tolist():
+            parts[i] = np.array(self.one(data[bounds[i]:bounds[i + 1]].tobytes().decode()), np.uint32)
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
+    def _adding(self, data, bounds) -> list[int]:
+        """Texts that hold an added token's string."""
+        raw, out = data.tobytes() if self.added else b"", []
+        for x in self.added:
+            at = raw.find(x)
+            while at >= 0:
+                i = int(np.searchsorted(bounds, at, "right")) - 1
+                if at + len(x) <= bounds[i + 1]:
+                    out.append(i)
+                at = raw.find(x, at + 1)
+        return out
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -310,3 +310,39 @@ def test_encoder_matches_the_library():
         for _ in range(2):
             ids, bounds = code(pa.array(odd))
             assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [code.one(x or "") for x in odd]
+
+
+def test_added_tokens_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    end, begin = "<|endoftext|>", "<|startoftext|>"
+    texts = [f"word {end} word", f"{begin}Word{end}{end} x", "plain word", f"a{end}\n\n b  {begin} ", end, f"\u2003{end}x",
+             "<|endof", "text|> word", f"{end.upper()} word", f"x{end[:-1]} {end}s", None, "word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for path in (WORDS_FILE, BYTES_FILE):
+        plain = Tokenizer.from_file(path)
+        want = [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+        code = tokens.Encoder(path, room=20)
+        for _ in range(2):
+            ids, bounds = code(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+        ended = [ids + [0] for ids in want]
+        crcs = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ended]
+        packed = packing.pack(docs, path).select("doc_id", "start", "length", "ids_crc32")
+        assert sorted(rows(packed)) == [(i, 0, len(x), c) for i, (x, c) in enumerate(zip(ended, crcs))]
+        starts = np.cumsum([0, *map(len, ended)]).tolist()
+        assert sorted(rows(wavelet.round_trip(docs, path))) == [(i, starts[i], len(x), c) for i, (x, c) in enumerate(zip(ended, crcs))]
+
+
+def test_added_tokens_of_any_form(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    texts = ["Two words and two words", "see FOO here", "  foo  bar", "two", "words of a kind", "", "foobar", "two wordsmith"]
+    for path in (WORDS_FILE, BYTES_FILE):
+        for n, added in enumerate(([AddedToken("two words", normalized=False, single_word=True)],
+                                   [AddedToken("foo", normalized=False, lstrip=True, rstrip=True)], [AddedToken("foo", normalized=True)])):
+            plain = Tokenizer.from_file(path)
+            plain.add_tokens(added)
+            plain.save(file := f"{tmp_path}/{n}.json")
+            ids, bounds = tokens.Encoder(file)(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
