@@ -99,6 +99,20 @@ def test_a_hot_group_is_split(spark):
     assert len(sizes) == 24 and max(sizes) < 1.03 * min(sizes)
 
 
+def test_copies_that_fit_stay_together(spark):
+    texts = [f"text {i} " * 20 for i in range(3000)] + [f"pair {i // 2} " * 20 for i in range(1000)]
+    texts += [f"copy {i % 20} " * 20 for i in range(1200)] + [f"long {i} " * 200 for i in range(40)] + [""] * 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = shards.shard(df, 24).toPandas()
+    where = collections.defaultdict(set)
+    for i, k in zip(got.doc_id, got.shard):
+        where[texts[i]].add(k)
+    assert all(len(x) == 1 for x in where.values())
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 24 and sizes.max() < 1.03 * sizes.min()
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard").slot)
+
+
 # 4
 def test_packing(docs, odd, empty):
     for df in (docs, odd):
