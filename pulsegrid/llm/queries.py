@@ -30,7 +30,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @register("op1_backoff_scores")
 def op1(spark, folder):
-    return scoring.score(table(spark, folder, "documents"))
+    return scoring.score(table(spark, folder, "documents"), order=3)
 
 
 PLAIN_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''),

@@ -55,6 +55,13 @@ def test_scores(docs, odd, words, order, block):
         assert np.allclose([g[5:] for g in got], [w[5:] for w in want], atol=1e-5)
 
 
+def test_the_registered_automaton_has_order_3(spark, docs, words):
+    table = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((r.doc_id, r.score) for r in queries.QUERIES["op1_backoff_scores"](spark, "/root/testdata/sf0.001").collect())
+    want = [(w[0], w[6]) for w in sorted(brute_scores(table, words, 3, 0.95))]
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-5)
+
+
 # 2
 def test_decontamination_tolerates_two_changes(spark, odd, empty):
     item = [f"w{i}" for i in range(20)]
