@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import decontam, jaccard, negatives, packing, pii, quality, scoring, shards, toxicity, urls, wavelet
+from pulsegrid.llm import decontam, jaccard, negatives, packing, phrases, pii, quality, scoring, shards, toxicity, urls, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +152,25 @@ def op11(spark, folder):
     rows = table(spark, folder, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@register("op12_count_transducers", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, unnest(regexp_split_to_array(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT lang, m, w[i+1:i+m] AS p FROM w, unnest(range(1, 4)) AS o(m), unnest(range(len(w) - m + 1)) AS s(i) WHERE len(w) >= m),
+f AS (SELECT lang, m, p, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r,
+  (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score FROM c, unnest(range(1, c.m)) AS o(k)
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k+1:]),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+i AS (SELECT c.lang, c.p[j+1:j+m2] AS p, max(c.f) AS longer FROM c, unnest(range(2, c.m)) AS o(m2), unnest(range(c.m - m2 + 1)) AS s(j)
+  GROUP BY ALL),
+t AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i USING (lang, p)
+  WHERE longer IS NULL OR 100 * longer < 50 * a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT z.lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM z JOIN n USING (lang) WHERE rank <= 2000""")
+def op12(spark, folder):
+    return phrases.mine(table(spark, folder, "documents"))
