@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import decontam, jaccard, negatives, packing, phrases, pii, quality, scoring, shards, toxicity, urls, wavelet
+from pulsegrid.llm import decontam, descent, jaccard, negatives, packing, phrases, pii, quality, scoring, shards, toxicity, urls, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,18 @@ z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT z.lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM z JOIN n USING (lang) WHERE rank <= 2000""")
 def op12(spark, folder):
     return phrases.mine(table(spark, folder, "documents"))
+
+
+@register("op13_neighbour_descent", """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS seen FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.seen = l.a),
+c AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)""")
+def op13(spark, folder):
+    return descent.near(table(spark, folder, "embeddings"))
