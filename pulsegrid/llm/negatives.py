@@ -188,7 +188,8 @@ def _visit(mean: np.ndarray, most: int, low: int, high: int, same: bool):
                 wide = max(map(len, pids))
                 names = np.array([p + [NONE] * (wide - len(p)) for p in pids], np.int64)
                 scores = np.array([p + [-1] * (wide - len(p)) for p in pscores], np.int64)  # below zero nothing fits
-                floor, ceiling = -(-low * scores // 100), high * scores // 100
+                hundreds, rest = scores // 100, scores % 100  # products with scores may pass 64 bits
+                floor, ceiling = low * hundreds - (-low * rest // 100), high * hundreds + high * rest // 100
                 ceiling[scores < 0] = NONE + 1
             best = Best(len(ids), names.shape[1], most)
             for unit in units:
