@@ -27,14 +27,15 @@ LOWER[65:91] += 32
 RARE_SPACE = re.compile("[%s]" % "".join(map(chr, (
     9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))))
 
+#: Bytes hashed at once; longer words are hashed in pieces of as many.
+HASHED = 1 << 17
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each base its powers and inverse powers 0 to n - 1, kept between batches."""
-    if not _powers or len(_powers[0][0]) < n:
-        size = max(n, 1 << 16)
-        _powers[:] = [tuple(np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)]))
+def powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base its powers and inverse powers 0 to ``HASHED``."""
+    if not _powers:
+        _powers[:] = [tuple(np.cumprod(np.concatenate([np.ones(1, U), np.full(HASHED, b, U)]))
                             for b in (base, pow(base, -1, 1 << 64))) for base in BASES]
     return _powers
 
@@ -61,7 +62,7 @@ def flat(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of a column of texts, of one row at least."""
     _, bounds = flat(batch.column(column))
     at = 0
@@ -87,18 +88,25 @@ def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last & inside) + 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges in order; blocks of bytes keep the running sums in cache."""
     out = mix((ends - starts).astype(U))
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + block)))
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED)))
         first, last = int(starts[at]), int(ends[to - 1])
-        raw, n = data[first:last].astype(U) + U(1), last - first
-        a, b, sums = starts[at:to] - first, ends[at:to] - first, np.zeros(n + 1, U)
-        for (power, inverse), odd in zip(powers(n + 1), (1, 0x8EBC6AF09C88C6E3)):
-            np.cumsum(raw * power[:n], out=sums[1:])
-            out[at:to] = mix(out[at:to] + (sums[b] - sums[a]) * inverse[a] * U(odd))
+        a, b, n = starts[at:to] - first, ends[at:to] - first, last - first
+        for base, (power, inverse), odd in zip(BASES, powers(), (1, 0x8EBC6AF09C88C6E3)):
+            if n <= HASHED:
+                sums = np.zeros(n + 1, U)
+                np.cumsum((data[first:last].astype(U) + U(1)) * power[:n], out=sums[1:])
+                value = (sums[b] - sums[a]) * inverse[a]
+            else:  # one long word
+                value = np.zeros(1, U)
+                for k in range(first, last, HASHED):
+                    piece = data[k:min(k + HASHED, last)].astype(U) + U(1)
+                    value += (piece * power[:len(piece)]).sum(keepdims=True) * U(pow(base, k - first, 1 << 64))
+            out[at:to] = mix(out[at:to] + value * U(odd))
         at = to
     return out
 
@@ -133,9 +141,9 @@ class Encoder:
     which the library finds before anything else and may take with what is around it.  Chunks new
     to a worker are encoded many at a time as one text, and its ids dealt back: by their known
     bytes, or at a mark between words.
-    ``room``: chunks kept between batches."""
+    ``room``: bytes of the table of known chunks, kept between batches."""
 
-    def __init__(self, path: str, room: int = 1_500_000):
+    def __init__(self, path: str, room: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -145,7 +153,7 @@ class Encoder:
         # one looked for in normalized text may be in any text
         self.anywhere = self.tokenizer.normalizer is not None and any(t.normalized for t in added)
         self.spaced = len(self.one(" ")) > 0
-        self.mark = next(((m, self.one(m)[0]) for m in "¶§~0" if len(self.one(m)) == 1), None)
+        self.mark = next(((m.encode(), self.one(m)[0]) for m in "¶§~0" if len(self.one(m)) == 1), None)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -160,44 +168,80 @@ class Encoder:
         return self.anywhere or any(x in text for x in self.added)
 
     def forget(self):
-        self.keys, self.bounds, self.ids = pd.Index(np.zeros(0, U)), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def encoded(self, chunks: list[bytes], together: int = 500) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct chunks, and how many each has."""
-        counts, out = np.zeros(len(chunks), np.int64), [None] * len(chunks)
-        mark = self.mark[0].encode() if self.mark else b""
-        fits = [bool(c) and (c[0] in b" \n" and c[-1] not in b" \n" if self.spaced else mark not in c and len(mark) > 0)
-                for c in chunks]
-        joined = [i for i, x in enumerate(fits) if x]
-        for i in (i for i, x in enumerate(fits) if not x):
-            out[i] = np.array(self.one(chunks[i].decode()), np.uint32)
+        """Known chunks: hashes in order, and of each where its ids begin and how many there are."""
+        self.keys, self.begin, self.count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                together: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks, byte ranges in order, in the order encoded; how many ids each has; all ids in that order."""
+        gap = np.zeros(256, bool)
+        gap[[10, 32]] = True
+        raw, mark = data.tobytes(), self.mark[0] if self.mark else b""
+        fits = np.zeros(len(starts), bool)
+        if self.spaced:
+            fits = gap[data[starts]] & ~gap[data[ends - 1]]
+        elif mark:
+            fits[:] = True
+            at = raw.find(mark)
+            while at >= 0:
+                i = int(np.searchsorted(starts, at, "right")) - 1
+                if i >= 0 and ends[i] > at:
+                    fits[i] = False
+                at = raw.find(mark, at + 1)
+        joined, order, counts, ids = np.flatnonzero(fits), [], [], []
+
+        def alone(some: np.ndarray):
+            for i in some.tolist():
+                ids.append(np.array(self.one(raw[starts[i]:ends[i]].decode()), np.uint32))
+                order.append(np.array([i]))
+                counts.append(np.array([len(ids[-1])]))
+
+        alone(np.flatnonzero(~fits))
         groups = [joined[i:i + together] for i in range(0, len(joined), together)]
-        for k in range(0, len(groups), 64):
-            some = groups[k:k + 64]
-            between = b"" if self.spaced else b" " + mark + b" "
-            joint = [(g, x, self.holds(x)) for g in some for x in [between.join(chunks[i] for i in g)]]
-            for i in (i for g, _, added in joint if added for i in g):  # these can't be dealt back
-                out[i] = np.array(self.one(chunks[i].decode()), np.uint32)
-            some = [g for g, _, added in joint if not added]
-            texts = [x.decode() for _, x, added in joint if not added]
+        between = b"" if self.spaced else b" " + mark + b" "
+        for k in range(0, len(groups), 32):
+            texts, some = [], []
+            for g in groups[k:k + 32]:
+                text = between.join(raw[a:b] for a, b in zip(starts[g].tolist(), ends[g].tolist()))
+                if self.holds(text):  # these can't be dealt back
+                    alone(g)
+                else:
+                    texts.append(text.decode())
+                    some.append(g)
             for g, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(e.ids, np.uint32)
+                found = np.array(e.ids, np.uint32)
                 if self.spaced:
-                    ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(chunks[i]) for i in g])) + 1
-                    parts = np.split(ids, ends[:-1])
+                    upto = np.searchsorted(np.cumsum(self.size[found]), np.cumsum(ends[g] - starts[g])) + 1
                 else:
-                    cuts = np.flatnonzero(ids == self.mark[1])
-                    parts = np.split(np.delete(ids, cuts), cuts - np.arange(len(cuts)))
-                for i, part in zip(g, parts, strict=True):
-                    out[i] = part
-        counts[:] = [len(x) for x in out]
-        return np.concatenate([np.zeros(0, np.uint32), *out]), counts
-
-    def learn(self, keys: np.ndarray, chunks: list[bytes]):
-        ids, counts = self.encoded(chunks)
-        self.keys = self.keys.append(pd.Index(keys))
+                    marks = np.flatnonzero(found == self.mark[1])
+                    found = np.delete(found, marks)
+                    upto = np.append(marks - np.arange(len(marks)), len(found))
+                if len(upto) != len(g):
+                    raise ValueError("the tokenizer doesn't split at white space")
+                order.append(g)
+                counts.append(np.diff(upto, prepend=0))
+                ids.append(found)
+        if not order:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        return np.concatenate(order), np.concatenate(counts), np.concatenate(ids)
+
+    def learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        order, counts, ids = self.encoded(data, starts, ends)
+        keys, begin = keys[order], len(self.ids) + np.cumsum(counts) - counts
+        into = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[into])
+        self.keys = np.insert(self.keys, place, keys[into])
+        self.begin = np.insert(self.begin, place, begin[into])
+        self.count = np.insert(self.count, place, counts[into].astype(np.int32))
         self.ids = np.concatenate([self.ids, ids])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys in the table, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, place, -1)
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the bounds of each text's ids."""
@@ -212,20 +256,22 @@ class Encoder:
             starts = np.flatnonzero(first[:len(data)])
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
         codes, keys = pd.factorize(hashes(data, starts, ends))
-        known = self.keys.get_indexer(keys)
-        if (fresh := np.flatnonzero(known < 0)).size:
-            if len(self.keys) + len(fresh) > self.room:  # the table starts anew with all chunks of this batch
-                self.forget()
+        place = self.known(keys)
+        if (fresh := np.flatnonzero(place < 0)).size:
+            if self.keys.nbytes + self.begin.nbytes + self.count.nbytes + self.ids.nbytes > self.room:
+                self.forget()  # the table starts anew with the chunks of this batch
                 fresh = np.arange(len(keys))
             at = np.zeros(len(keys), np.int64)
             at[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw, at = data.tobytes(), at[fresh]
-            self.learn(keys[fresh], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            known = self.keys.get_indexer(keys)
-        place = known[codes]
-        lengths = np.diff(self.bounds)[place]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.repeat(self.bounds[place] - total[:-1], lengths) + np.arange(total[-1])]
+            self.learn(keys[fresh], data, starts[at[fresh]], ends[at[fresh]])
+            place = self.known(keys)
+        lengths = self.count[place][codes]
+        total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        step = np.ones(total[-1], np.int64)  # where each id lies: one further, but for the first of a chunk
+        some = lengths > 0
+        begin = self.begin[place][codes][some]
+        step[total[:-1][some]] = np.diff(begin, prepend=0) - np.concatenate([[0], lengths[some][:-1] - 1]) if len(begin) else begin
+        ids = self.ids[np.cumsum(step, out=step)]
         cut = total[np.searchsorted(starts, bounds)]
         return self._whole(data, bounds, ids, cut)
 
