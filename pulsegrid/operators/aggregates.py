@@ -321,6 +321,16 @@ def ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], col="value", a
             res[start:] = e if not seed else e[1:]
         return pdf.assign(**{out: res}), {"e": float(res[-1])}
 
+    def summarise(pdf: pd.DataFrame, _):
+        return {"zero": step(pdf, {"e": 0.0})[1]["e"], "one": step(pdf, {"e": 1.0})[1]["e"], "left": (1 - alpha) ** len(pdf)}
+
+    def follow(piece: dict, state: dict) -> dict:
+        if not state["e"]:
+            return {"e": piece["zero"]}
+        # a mean that has started fades, but not to the zero that would start it anew
+        return {"e": piece["one"] + piece["left"] * (state["e"] - 1) or np.finfo(float).smallest_subnormal.item()}
+
+    step.passes = [(summarise, follow)]
     from pyspark.sql import types as T
     return fold(df, keys, order, step, {"e": 0.0},
                 T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())]), limit)

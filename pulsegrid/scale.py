@@ -269,11 +269,13 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str],
          out: T.StructType | str, limit: int | None = None) -> DataFrame:
     """Sequential fold per key: ``step(rows, state) -> (output rows, new state)``.
 
-    Keys up to ``limit`` rows fold in one call.  Beyond it a key is cut into pieces that
-    fold at the same time from a guessed entry state; pieces whose entry turns out
-    different from the guess run again, until every entry equals the exit before it.
-    The result is the sequential one; the number of rounds depends on how soon the
-    state forgets.
+    Keys up to ``limit`` rows fold in one call.  Beyond it a key is cut into pieces.  ``step.passes`` says
+    how states go through a piece without its rows: a pass is ``(summarise, follow)``, where
+    ``summarise(rows, entry)`` makes a small summary of a piece and ``follow(summary, state)`` takes a
+    state from the piece's begin to its end.  All pieces are summarised at the same time, a key's summaries
+    are followed in order, and then all pieces fold at the same time from their entries.  Later passes
+    are given the entries that earlier ones have found, as far as these know them.  One table is written
+    for the pieces and one for each pass, however many pieces there are.
     """
     limit = GROUP_LIMIT if limit is None else limit
     keys, order = list(keys), list(order)
@@ -288,37 +290,41 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     pieces = cut(positions(df, keys, [F.col(o) for o in order], "__pos", limit)
                  .withColumn("__piece", F.floor(F.col("__pos") / limit)).drop("__pos"))
-    key_fields = [df.schema[k] for k in keys]
-    exit_schema = T.StructType(key_fields + [T.StructField("__piece", T.LongType()),
-                                             T.StructField("__exit", T.StringType())])
+    on = keys + ["__piece"]
     names = pieces.columns
+    text = lambda name: T.StructType([df.schema[k] for k in keys]
+                                     + [T.StructField("__piece", T.LongType()), T.StructField(name, T.StringType())])
 
-    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+    def sorted_rows(pdf: pd.DataFrame) -> tuple[pd.DataFrame, dict | None]:
         rows = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        state = step(rows[names], json.loads(rows["__entry"].iloc[0]))[1]
-        head = rows.loc[[0], keys + ["__piece"]].copy()
-        head["__exit"] = json.dumps(state)
-        return head
-
-    on = keys + ["__piece"]
-    entry = cut(pieces.select(*on).distinct().withColumn("__entry", F.lit(zero_text)))
-    exits = cut(join_keys(pieces, entry, on).groupBy(*on).applyInPandas(leave, exit_schema))
-    w = Window.partitionBy(*keys).orderBy("__piece")
-    while True:
-        due = exits.select(*on, F.coalesce(F.lag("__exit").over(w), F.lit(zero_text)).alias("__due"))
-        nxt = cut(join_keys(entry, due, on))
-        changed = nxt.where("__due <> __entry").select(*on, F.col("__due").alias("__entry"))
-        entry = nxt.select(*on, F.col("__due").alias("__entry"))
-        if changed.isEmpty():
-            break
-        again = join_keys(pieces, changed, on).groupBy(*on).applyInPandas(leave, exit_schema)
-        exits = cut(join_keys(exits, changed.select(*on), on, "left_anti").unionByName(again))
+        return rows[names], json.loads(rows["__entry"].iloc[0]) if "__entry" in rows else None
+
+    def summaries(summarise):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows, entry = sorted_rows(pdf)
+            return rows.loc[[0], on].assign(__summary=json.dumps(summarise(rows, entry)))
+        return run
+
+    def chain(follow):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("__piece").reset_index(drop=True)
+            state, entries = json.loads(zero_text), []
+            for summary in pdf["__summary"]:
+                entries.append(json.dumps(state))
+                state = follow(json.loads(summary), state)
+            return pdf[on].assign(__entry=entries)
+        return run
+
+    entered = pieces
+    for summarise, follow in step.passes:
+        entry = cut(entered.groupBy(*on).applyInPandas(summaries(summarise), text("__summary"))
+                    .groupBy(*keys).applyInPandas(chain(follow), text("__entry")))
+        entered = join_keys(pieces, entry, on)
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return step(rows[names], json.loads(rows["__entry"].iloc[0]))[0][out.names]
+        return step(*sorted_rows(pdf))[0][out.names]
 
-    return join_keys(pieces, entry, on).groupBy(*on).applyInPandas(emit, out)
+    return entered.groupBy(*on).applyInPandas(emit, out)
 
 
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,

@@ -3,10 +3,17 @@
 Each step takes one key's rows in order (a pandas frame) and the key's state, a small
 JSON-ready dict, and returns the output rows and the new state.  Replaying a stream in
 pieces therefore equals the batch fold.  Times are epoch microseconds.
+
+Steps that the batch fold cuts up have ``passes`` (see :func:`pulsegrid.scale.fold`): what a
+piece does to any state that can enter it, as a table over the finite part of the state and
+as a step function of the time in it.  Only rows within one waiting time of a piece's begin
+can tell entering times apart, so that a summary does not grow with the piece.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 
@@ -61,6 +68,24 @@ def lifecycle(flag="breach", us="us"):
     return step
 
 
+def by_time(after: np.ndarray, exits: list) -> dict:
+    """A step function of time: entry x leads to the exit of the first row after x, ``after[i]`` being the
+    time of row i; runs of equal exits are kept once.  Past the last row the state stays."""
+    last = [i for i in range(len(exits)) if i + 1 == len(exits) or exits[i] != exits[i + 1]]
+    return {"upto": [int(after[i]) for i in last], "exit": [exits[i] for i in last]}
+
+
+def at_time(table: dict, x: int):
+    """The exit for entry ``x``, or None."""
+    i = bisect.bisect_right(table["upto"], x)
+    return table["exit"][i] if i < len(table["exit"]) else None
+
+
+def first_rows(t: np.ndarray, wait: int) -> int:
+    """How many rows can be the first after entry + wait, for an entry not after the first row."""
+    return min(len(t), int(np.searchsorted(t, t[0] + wait, side="right")) + 1)
+
+
 def rate_limit(period_s: float, us="us"):
     """Keeps a row only when more than the period has passed since the last kept one."""
     period = int(period_s * 1_000_000)
@@ -74,6 +99,20 @@ def rate_limit(period_s: float, us="us"):
             sent[at], last = True, int(t[at])
             at = int(np.searchsorted(t, last + period, side="right"))
         return rows.assign(sent=sent), {"last": last}
+
+    def summarise(rows: pd.DataFrame, _):
+        t = rows[us].to_numpy("int64")
+        after = np.searchsorted(t, t + period, side="right")
+        end = np.where(after < len(t), after, np.arange(len(t)))
+        while not np.array_equal(end, end[end]):  # each row leads to the last one sent when it is sent
+            end = end[end]
+        return by_time(t, t[end[:first_rows(t, period)]].tolist())
+
+    def follow(piece: dict, state: dict) -> dict:
+        last = piece["exit"][0] if state["last"] is None else at_time(piece, state["last"] + period)
+        return state if last is None else {"last": last}
+
+    step.passes = [(summarise, follow)]
     return step
 
 
@@ -109,6 +148,82 @@ def grouping(us="us", wait="group_wait_s", interval="group_interval_s", repeat="
                 notify.append(s["flush"])
                 reason.append(why)
         return rows.assign(notify_us=np.array(notify, dtype="int64"), reason=reason), s
+
+    def timing(rows: pd.DataFrame) -> tuple[int, int, int]:
+        """The route's timings in microseconds, the same for all alerts of a group."""
+        w, i, r = (rows[c].to_numpy("int64") for c in (wait, interval, repeat))
+        if (w != w[0]).any() or (i != i[0]).any() or (r != r[0]).any():
+            raise ValueError("the alerts of a group need the same timings")
+        return int(w[0]) * 1_000_000, int(i[0]) * 1_000_000, int(r[0]) * 1_000_000
+
+    quiet_us = int(resolve_s * 1_000_000)
+
+    def flush_at(flush, t, i):
+        """The flush that takes an alert at ``t``, in a group that flushes at ``flush`` and every ``i`` after."""
+        return flush + np.maximum(0, -((flush - t) // i)) * i
+
+    def when(rows: pd.DataFrame, _):
+        """The pauses after which the group may have ended; the others it has surely outlasted."""
+        t, (w, i, _) = rows[us].to_numpy("int64"), timing(rows)
+        gap = np.flatnonzero(np.diff(t) > quiet_us)
+        return {"first": int(t[0]), "last": int(t[-1]), "wait": w, "every": i, "pauses": [[int(t[k]), int(t[k + 1])] for k in gap]}
+
+    def follow_when(piece: dict, state: dict) -> dict:
+        flush, seen = state["flush"], state["seen"]
+        for before, t in [[seen, piece["first"]], *piece["pauses"]]:
+            if flush is not None:
+                flush = int(flush_at(flush, before, piece["every"]))
+            if flush is None or t > max(before, flush) + quiet_us:
+                flush = t + piece["wait"]
+        return {"flush": int(flush_at(flush, piece["last"], piece["every"])), "seen": piece["last"], "sent": None}
+
+    def flushes(rows: pd.DataFrame, entry: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Each alert's flush, and whether its group starts with it."""
+        t, (w, i, _) = rows[us].to_numpy("int64"), timing(rows)
+        flush, first = np.empty(len(t), np.int64), np.zeros(len(t), bool)
+        now, seen, at = entry["flush"], entry["seen"], 0
+        for end in [*(np.flatnonzero(np.diff(t) > quiet_us) + 1).tolist(), len(t)]:
+            if now is None or t[at] > max(seen, now) + quiet_us:
+                now, first[at] = int(t[at]) + w, True
+            flush[at:end] = flush_at(now, t[at:end], i)
+            now, seen, at = int(flush[end - 1]), int(t[end - 1]), end
+        return flush, first
+
+    def sent(rows: pd.DataFrame, entry: dict):
+        """The last notification by the one before the piece: known alerts go out with a flush that is late
+        enough after it, new ones and the first of a group with any."""
+        flush, first = flushes(rows, entry)
+        r = timing(rows)[2]
+        fresh = rows[new].to_numpy(bool) | first
+        at = np.flatnonzero(np.r_[True, flush[1:] != flush[:-1]])
+        window, forced = flush[at], np.logical_or.reduceat(fresh, at)
+        ahead = np.where(forced, np.arange(len(at)), len(at))  # the next flush that goes out whatever was before
+        ahead = np.minimum.accumulate(ahead[::-1])[::-1]
+        due = np.searchsorted(window, window + r)
+        after = np.minimum(due, np.append(ahead[1:], len(at)))
+        end = np.where(after < len(at), after, np.arange(len(at)))
+        while not np.array_equal(end, end[end]):
+            end = end[end]
+        # the entry decides up to the first flush that goes out anyway, by itself or for being so late
+        free = min(int(ahead[0]), int(np.searchsorted(window, window[0] + r)))
+        some = min(free, len(at) - 1) + 1
+        return {"upto": window[:some].tolist(), "exit": window[end[:some]].tolist(), "forced": free < len(at), "flush": int(flush[-1]),
+                "seen": int(rows[us].iloc[-1]), "repeat": r}
+
+    def follow_sent(piece: dict, state: dict) -> dict:
+        last = state["sent"]
+        if last is None:
+            out = piece["exit"][0]
+        else:
+            # the flush that the piece begins in may have gone out before it
+            k = bisect.bisect_left(piece["upto"], last + piece["repeat"])
+            k = 0 if last == piece["upto"][0] else k
+            if k >= len(piece["exit"]) and piece["forced"]:
+                k = len(piece["exit"]) - 1
+            out = piece["exit"][k] if k < len(piece["exit"]) else last
+        return {"flush": piece["flush"], "seen": piece["seen"], "sent": out}
+
+    step.passes = [(when, follow_when), (sent, follow_sent)]
     return step
 
 
@@ -139,6 +254,37 @@ def breaker(failures=5, recovery_s=60.0, successes=3, us="us", ok="success"):
             counts.append(f)
         return rows.assign(state=states, executed=passed, failures=np.array(counts, dtype="int64")), \
             {"state": st, "f": f, "s": s, "last": last}
+
+    def summarise(rows: pd.DataFrame, _):
+        """Exits by entry, from the last row backwards.  An exit is (state, failures, successes, last, from
+        here): failures count on from the entry's unless the breaker closes on the way."""
+        t, good = rows[us].to_numpy("int64"), rows[ok].to_numpy(bool)
+        after = np.searchsorted(t, t + wait, side="right").tolist()
+        more = lambda e, k, fixed: (e[0], e[1] + k, e[2], e[3], e[4] and not fixed) if e[4] else e
+        closed = [("closed", f, 0, None, False) for f in range(failures)]
+        half = [("half_open", 0, s, None, True) for s in range(successes)]
+        begun = [None] * len(t)  # exits of a half-open breaker at each row
+        for i in range(len(t) - 1, -1, -1):
+            if good[i]:
+                half = [*half[1:], closed[0]]
+                closed = [closed[0], *closed[:-1]]
+            else:
+                opened = begun[after[i]] if after[i] < len(t) else ("open", 0, 0, int(t[i]), True)
+                closed = [*closed[1:], more(opened, failures, True)]
+                half = [more(opened, 1, False)] * successes
+            begun[i] = half[0]
+        return {"closed": closed, "half": half, "open": by_time(t, begun[:first_rows(t, wait)])}
+
+    def follow(piece: dict, state: dict) -> dict:
+        if state["state"] == "open":
+            e = at_time(piece["open"], state["last"] + wait)
+            if e is None:
+                return state
+        else:
+            e = piece["closed"][state["f"]] if state["state"] == "closed" else piece["half"][state["s"]]
+        return {"state": e[0], "f": e[1] + (state["f"] if e[4] else 0), "s": e[2], "last": state["last"] if e[3] is None else e[3]}
+
+    step.passes = [(summarise, follow)]
     return step
 
 
@@ -160,6 +306,14 @@ def recovery(limit=3, ok="success"):
         attempts = np.where(tried, run, limit if stop < len(good) or blocked else 0)
         out = rows.assign(action=np.where(tried, "attempt", "blocked"), attempts=attempts.astype("int64"))
         return out, {"n": int(attempts[-1]), "blocked": bool(blocked or stop < len(good))}
+
+    def summarise(rows: pd.DataFrame, _):
+        return [step(rows, {"n": n, "blocked": False})[1] for n in range(limit + 1)]
+
+    def follow(piece: list, state: dict) -> dict:
+        return state if state["blocked"] else piece[min(state["n"], limit)]
+
+    step.passes = [(summarise, follow)]
     return step
 
 

@@ -1,11 +1,13 @@
 """The cut-up paths must equal the plain windows, with a key that holds most rows."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
-from pulsegrid import scale
+from pulsegrid import scale, session
 from pulsegrid.streaming import steps
 
 LIMIT = 37  # far below the hot key's rows, so every helper takes its cut-up path
@@ -82,13 +84,76 @@ def test_newest(hot, rows):
     (steps.rate_limit(90), {"last": None}, "sent boolean", ["sent"]),
     (steps.breaker(3, 200.0, 2), steps.BREAKER_ZERO, "state string, executed boolean, failures long", ["state", "executed", "failures"]),
     (steps.recovery(3), {"n": 0, "blocked": False}, "action string, attempts long", ["action", "attempts"]),
+    (steps.grouping(wait="w", interval="i", repeat="r", new="success", resolve_s=20), {"flush": None, "seen": None, "sent": None},
+     "notify_us long, reason string", ["notify_us", "reason"]),
 ])
 def test_fold(hot, rows, step, zero, out, extra):
     d = hot.select("id", "k", (F.col("sec") * 1_000_000).alias("us"), (F.coalesce("v", F.lit(0.0)) < 60).alias("success"))
-    schema = "id long, k string, us long, success boolean, " + out
+    d = d.withColumns({"w": F.lit(5), "i": F.lit(7), "r": F.lit(60)})
+    schema = "id long, k string, us long, success boolean, w int, i int, r int, " + out
     both(lambda lim: scale.fold(d, ["k"], ["us", "id"], step, zero, schema, lim), rows, ["id", *extra])
 
 
+STEPS = {
+    "rate_limit": (lambda g: steps.rate_limit(g.integers(1, 90)), {"last": None}, ["sent"]),
+    "breaker": (lambda g: steps.breaker(int(g.integers(1, 5)), float(g.integers(1, 120)), int(g.integers(1, 4))), steps.BREAKER_ZERO,
+                ["state", "executed", "failures"]),
+    "recovery": (lambda g: steps.recovery(int(g.integers(1, 5))), {"n": 0, "blocked": False}, ["action", "attempts"]),
+    "grouping": (lambda g: steps.grouping(resolve_s=float(g.integers(20, 80))), {"flush": None, "seen": None, "sent": None}, ["notify_us", "reason"]),
+}
+
+
+@pytest.mark.parametrize("name", STEPS)
+def test_summaries_follow_the_steps(name):
+    """Cut anywhere, entries found from the summaries alone are those of the plain run."""
+    make, zero, out = STEPS[name]
+    for seed in range(60):
+        g = np.random.default_rng(seed)
+        n = int(g.integers(2, 120))
+        t = np.cumsum(g.choice([0, 1, 3, 10, 40, 90, 200], n, p=[.1, .3, .2, .2, .1, .05, .05])) * 1_000_000 + int(g.integers(0, 999))
+        rows = pd.DataFrame({"us": t, "success": g.random(n) < g.choice([0.3, 0.6, 0.9]), "is_new": g.random(n) < g.choice([0.05, 0.5]),
+                             "group_wait_s": int(g.integers(0, 20)), "group_interval_s": int(g.integers(1, 40)), "repeat_interval_s": int(g.integers(1, 400))})
+        step = make(g)
+        whole = step(rows, dict(zero))[0][out]
+        at = np.unique(np.r_[0, g.integers(1, n, int(g.integers(0, 8))), n])
+        pieces = [rows.iloc[a:b].reset_index(drop=True) for a, b in zip(at, at[1:])]
+        entries = [None] * len(pieces)
+        for summarise, follow in step.passes:
+            made, state = [json.loads(json.dumps(summarise(p, e))) for p, e in zip(pieces, entries)], dict(zero)
+            for k, s in enumerate(made):
+                entries[k], state = state, json.loads(json.dumps(follow(s, state)))
+        got = pd.concat([step(p, dict(e))[0][out] for p, e in zip(pieces, entries)]).reset_index(drop=True)
+        pd.testing.assert_frame_equal(got, whole)
+
+
+def test_summaries_do_not_grow_with_pieces():
+    """One alert a second in pieces of very different sizes: a summary covers one waiting time."""
+    for name in STEPS:
+        sizes = []
+        for n in (3000, 30_000):
+            g = np.random.default_rng(1)
+            rows = pd.DataFrame({"us": np.arange(n) * 1_000_000, "success": g.random(n) < 0.7, "is_new": False, "group_wait_s": 10,
+                                 "group_interval_s": 30, "repeat_interval_s": 600})
+            state = [None, {"flush": 0, "seen": 0, "sent": None}]
+            step = STEPS[name][0](g)
+            sizes.append(sum(len(json.dumps(summarise(rows, e))) for (summarise, _), e in zip(step.passes, state)))
+        assert sizes[1] < 1.5 * sizes[0] + 100, name
+
+
+def test_tables_of_a_fold_do_not_grow_with_pieces(hot, monkeypatch):
+    """However finely a key is cut, a fold writes its pieces and one table for each pass."""
+    d = hot.select("id", "k", (F.col("sec") * 1_000_000).alias("us"), (F.coalesce("v", F.lit(0.0)) < 60).alias("success"))
+    written = []
+    monkeypatch.setattr(scale, "cut", lambda df: written.append(1) or session.cut(df))
+    monkeypatch.setattr(scale, "positions", lambda df, keys, order, name, *_: df.withColumn(
+        name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1))
+    for limit in (200, 20):
+        written.clear()
+        scale.fold(d, ["k"], ["us", "id"], steps.recovery(3), {"n": 0, "blocked": False},
+                   "id long, k string, us long, success boolean, action string, attempts long", limit).count()
+        assert len(written) == 2
+
+
 def test_ema_cut_up(hot, rows):
     from pulsegrid.operators.aggregates import ema
     d = hot.select("id", "k", "sec", F.coalesce("v", F.lit(0.0)).alias("v"))
