@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.scalars import metric_family, short_id
-from pulsegrid.scale import BROADCAST_ROWS, over_range, positions, scan, small
+from pulsegrid.scale import fold, over_range, positions, scan, small
 from pulsegrid.session import cut
+from pulsegrid.streaming.steps import earliest_open
 
 
 def _c(c) -> Column:
@@ -59,50 +59,35 @@ def with_agg_rule(samples: DataFrame, rules: DataFrame, metric="metric", rule_me
 
 
 def correlate(alerts: DataFrame, window_s: int = 300, id="alert_id", ts="first_seen", service="service",
-              host="host", metric="metric", limit: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
+              host="host", metric="metric", resolved: str | None = None, limit: int | None = None) -> DataFrame:
     """Correlation group of each alert.
 
     An alert joins the group of the earliest alert at most ``window_s`` older with its
     service, else its host, else its metric family; otherwise it starts a group named
-    after itself.  The earliest match is a range-window minimum, so no pairs are formed;
-    links to links are resolved by doubling, or in one task while they are few.
+    after itself.  ``resolved`` names the time from which an alert is no longer active (null:
+    it still is) and gives its group to no other; without it all alerts stay active.
+
+    The earliest active one is found by a sweep in order of time that keeps only alerts which
+    can still be it, and that a crowded key runs in pieces at the same time; links to links are
+    resolved by doubling.
     """
-    span = window_s * 1_000_000
-    d = alerts.select(F.col(id).alias("id"), F.col(ts).alias("ts"), F.col(service).alias("k_service"),
-                      F.col(host).alias("k_host"), metric_family(metric).alias("k_family"))
-    me = F.struct(F.unix_micros("ts").alias("t"), F.col("id").alias("id"))
+    kind = alerts.schema[id].dataType.simpleString()
+    d = alerts.select(F.col(id).alias("id"), F.unix_micros(ts).alias("us"),
+                      (F.unix_micros(resolved) if resolved else F.lit(None).cast("bigint")).alias("end_us"),
+                      F.nullif(F.col(service), F.lit("")).alias("k_service"), F.nullif(F.col(host), F.lit("")).alias("k_host"),
+                      F.nullif(metric_family(metric), F.lit("")).alias("k_family")).where("us IS NOT NULL")
+    links = alerts.select(F.col(id).alias("id"))
     for k in ("k_service", "k_host", "k_family"):
-        d = over_range(d, [k], "ts", window_s, lambda w, k=k: {
-            f"__{k}": F.min(me).over(w.rangeBetween(-span, 0))}, limit)
-
-    def parent(k):
-        first = F.col(f"__{k}")["id"]
-        return F.when(F.nullif(F.col(k), F.lit("")).isNotNull() & (first != F.col("id")), first)
-
-    links = cut(d.select("id", F.coalesce(parent("k_service"), parent("k_host"), parent("k_family"),
-                                          F.col("id")).alias("root")))
-    if links.limit(bound + 1).count() <= bound:
-        def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-            up = dict(zip(pdf["id"], pdf["root"]))
-            root: dict = {}
-            for i in pdf["id"]:
-                seen = []
-                while i not in root and up[i] != i:
-                    seen.append(i)
-                    i = up[i]
-                top = root.setdefault(i, i)
-                root.update((x, top) for x in seen)
-            return pdf.assign(root=pdf["id"].map(root))
-
-        links = links.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(follow, links.withColumn("__all", F.lit(0)).schema).drop("__all")
-        done = True
-    else:
-        done = False
-    while not done:
+        found = fold(d.where(F.col(k).isNotNull()).select("id", "us", "end_us", k), [k], ["us", "id"], earliest_open(window_s),
+                     {"open": [], "top": None}, f"id {kind}, parent {kind}", limit)
+        links = links.join(found.where("parent IS NOT NULL").withColumnRenamed("parent", k), "id", "left")
+    links = cut(links.select("id", F.coalesce("k_service", "k_host", "k_family", "id").alias("root")))
+    while True:
         up = links.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        nxt = cut(links.join(up, "root").select("id", "root", "above"))
-        done = nxt.where("root <> above").isEmpty()
-        links = nxt.select("id", F.col("above").alias("root"))
+        nxt = cut(links.join(up, "root").select("id", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")))
+        links = nxt.select("id", "root")
+        if nxt.where("moved").isEmpty():
+            break
     return alerts.join(links.select(F.col("id").alias(id), F.concat(
         F.lit("corr-"), short_id("root")).alias("correlation_group"), F.col("root").alias("group_root")), id)
 

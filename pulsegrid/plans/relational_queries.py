@@ -221,6 +221,69 @@ def _(t):
         F.concat(F.lit("a"), "event_id").alias("alert_id"), "correlation_group")
 
 
+# alerts end after up to 49 minutes, every fifth not at all
+ENDED_SQL = f"""{ALERT_SQL}, en AS (SELECT al.*, split_part(metric, '_', 1) AS family, first_seen + INTERVAL 1 MINUTE * (event_id % 50) AS ended,
+ row_number() OVER (ORDER BY first_seen, event_id) AS pos FROM al)"""
+
+
+@query("j05_correlate_active", f"""WITH RECURSIVE {ENDED_SQL},
+ lk AS (SELECT n.event_id, coalesce(min(struct_pack(p := o.pos, id := o.event_id)) FILTER (n.service = o.service), min(struct_pack(p := o.pos, id := o.event_id)) FILTER (n.host = o.host),
+  min(struct_pack(p := o.pos, id := o.event_id)) FILTER (n.family = o.family)).id AS up
+  FROM en n LEFT JOIN en o ON o.pos < n.pos AND o.first_seen >= n.first_seen - INTERVAL 2 HOUR AND (o.event_id % 5 = 0 OR o.ended > n.first_seen)
+   AND (o.service = n.service OR o.host = n.host OR o.family = n.family) GROUP BY n.event_id),
+ rt AS (SELECT event_id, event_id AS root FROM lk WHERE up IS NULL UNION ALL SELECT lk.event_id, rt.root FROM lk JOIN rt ON lk.up = rt.event_id)
+SELECT event_id, 'corr-' || substr(md5(root::VARCHAR), 1, 8) AS correlation_group FROM rt""")
+def _(t):
+    e = F.col("event_id")
+    ended = F.timestamp_micros(F.unix_micros("first_seen") + (e % 50) * 60_000_000)
+    a = alerts(t).withColumn("ended", F.when(e % 5 != 0, ended))
+    return J.correlate(a, 7200, id="event_id", resolved="ended").select("event_id", "correlation_group")
+
+
+# two rules follow their history, one is fixed; services by host
+EVAL_SQL = f"""{METRIC_NAMES_SQL}, rl(rule_id, metric_name, lim, severity, dynamic, title) AS (VALUES ('high_cpu_usage', 'cpu_usage', 80.0, 'high', TRUE, 'High CPU Usage'),
+  ('high_memory_usage', 'memory_usage', 60.0, 'critical', FALSE, 'Busy'), ('disk_space_low', 'disk_usage', 90.0, 'critical', FALSE, 'Low Disk Space'),
+  ('high_network_latency', 'network_latency', 100.0, 'medium', TRUE, 'High Network Latency')),
+ sm AS (SELECT rl.*, mn.* FROM mn JOIN rl ON starts_with(mn.metric, rl.metric_name)),
+ hs AS (SELECT *, count(*) OVER h AS hn, avg(value) OVER h AS hm, stddev_samp(value) OVER h AS hd, avg(value) OVER f AS fm, stddev_samp(value) OVER f AS fd, row_number() OVER (PARTITION BY rule_id, metric ORDER BY ts, event_id) AS seen FROM sm
+  WINDOW h AS (PARTITION BY rule_id, metric ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), f AS (PARTITION BY rule_id, metric ORDER BY ts, event_id ROWS 49 PRECEDING)),
+ br AS (SELECT *, value > threshold AS hit FROM (SELECT *, CASE WHEN NOT dynamic OR seen < 20 THEN lim ELSE greatest(lim, CASE WHEN hn >= 10 THEN hm + 2 * coalesce(hd, 0) ELSE fm + 2 * coalesce(fd, 0) END) END AS threshold FROM hs)),
+ op AS (SELECT *, hit AND NOT coalesce(lag(hit) OVER w, FALSE) AS opens FROM br WINDOW w AS (PARTITION BY rule_id, host ORDER BY ts, event_id)),
+ nu AS (SELECT *, sum(opens::INT) OVER (PARTITION BY rule_id, host ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS number FROM op),
+ av AS (SELECT 'alert-' || rule_id || '-' || min(event_id) FILTER (opens) AS alert_id, rule_id, host, any_value(title) AS title, any_value(severity) AS severity, any_value(metric_name) AS metric,
+  CASE WHEN host IN ('h1', 'h2', 'h3') THEN 'web' END AS service, min(threshold) FILTER (opens) AS threshold, max_by(value, struct_pack(a := ts, b := event_id)) FILTER (hit) AS value, min(ts) FILTER (hit) AS first_seen, max(ts) FILTER (hit) AS last_seen, min(ts) FILTER (NOT hit) AS resolved_at
+  FROM nu WHERE number > 0 GROUP BY rule_id, host, number)"""
+
+
+def evaluated(t):
+    from pulsegrid.operators import alerts as A
+    rules = R.add_rule(R.rules_df(t.spark), ("high_memory_usage", "Busy", "memory_usage", ">", 60.0, "critical", 300, 60, False, 300))
+    samples = named_metrics(t).withColumn("service", F.when(F.col("host").isin("h1", "h2", "h3"), "web"))
+    return A.evaluate(samples, rules, 3600)
+
+
+@query("a01_evaluate_alerts", f"""WITH RECURSIVE {EVAL_SQL}, fa AS (SELECT *, split_part(metric, '_', 1) AS family, row_number() OVER (ORDER BY first_seen, alert_id) AS pos FROM av),
+ lk AS (SELECT n.alert_id, coalesce(min(struct_pack(p := o.pos, id := o.alert_id)) FILTER (n.service = o.service), min(struct_pack(p := o.pos, id := o.alert_id)) FILTER (n.host = o.host),
+  min(struct_pack(p := o.pos, id := o.alert_id)) FILTER (n.family = o.family)).id AS up
+  FROM fa n LEFT JOIN fa o ON o.pos < n.pos AND o.first_seen >= n.first_seen - INTERVAL 1 HOUR AND (o.resolved_at IS NULL OR o.resolved_at > n.first_seen)
+   AND (o.service = n.service OR o.host = n.host OR o.family = n.family) GROUP BY n.alert_id),
+ rt AS (SELECT alert_id, alert_id AS root FROM lk WHERE up IS NULL UNION ALL SELECT lk.alert_id, rt.root FROM lk JOIN rt ON lk.up = rt.alert_id)
+SELECT alert_id, rule_id, host, severity, round(threshold, 4) AS threshold, value, epoch_us(first_seen) AS first_us, epoch_us(last_seen) AS last_us, coalesce(epoch_us(resolved_at), -1) AS resolved_us,
+ 'corr-' || substr(md5(root), 1, 8) AS correlation_group FROM av JOIN rt USING (alert_id)""")
+def _(t):
+    return evaluated(t).select("alert_id", "rule_id", "host", "severity", F.round("threshold", 4).alias("threshold"), "value", us("first_seen").alias("first_us"),
+                               us("last_seen").alias("last_us"), F.coalesce(us("resolved_at"), F.lit(-1)).alias("resolved_us"), "correlation_group")
+
+
+@query("a02_alert_outbox", f"""WITH RECURSIVE {EVAL_SQL}, nt AS (SELECT alert_id, channel, rule_id, epoch_us(first_seen) AS us, title, severity, row_number() OVER (PARTITION BY channel, rule_id ORDER BY first_seen, alert_id) AS pos FROM av, (VALUES ('slack'), ('email')) c(channel)),
+ se AS (SELECT channel, rule_id, us, pos FROM nt WHERE pos = 1 UNION ALL SELECT nt.channel, nt.rule_id, min(nt.us), min(nt.pos) FROM se JOIN nt ON nt.channel = se.channel AND nt.rule_id = se.rule_id AND nt.us > se.us + 1800000000 GROUP BY ALL)
+SELECT alert_id, nt.channel, CASE WHEN nt.channel = 'email' THEN '[' || upper(severity) || '] ' || title ELSE severity || ' alert: ' || title END AS subject, se.pos IS NOT NULL AS sent
+FROM nt LEFT JOIN se ON se.channel = nt.channel AND se.rule_id = nt.rule_id AND se.pos = nt.pos""")
+def _(t):
+    from pulsegrid.operators import alerts as A
+    return A.outbox(evaluated(t), period_s=1800).select("alert_id", "channel", "subject", "sent")
+
+
 @query("j06_inhibit", f"""WITH {ALERT_SQL}, x AS (SELECT alert_id, split_part(metric, '_', 1) AS alertname, host AS instance, CASE WHEN value > 200 THEN 'critical' ELSE 'warning' END AS sev FROM al)
 SELECT alert_id FROM x WHERE NOT (sev = 'warning' AND EXISTS (SELECT 1 FROM x y WHERE y.sev = 'critical' AND y.alertname = x.alertname AND y.instance = x.instance))""")
 def _(t):

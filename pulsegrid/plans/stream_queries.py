@@ -106,7 +106,19 @@ def _(t):
     return St.run_append(St.dedupe_alerts(a, watermark="60 days")).select("fingerprint")
 
 
-@query("t11_group_alerts")
+@query("t11_group_alerts", f"""WITH RECURSIVE {PTS}, a AS (SELECT event_id, host, epoch_us(ts) AS us, event_id % 2 = 0 AS fresh,
+  CASE WHEN value > 150 THEN 'critical-alerts' WHEN value > 90 THEN 'warning-alerts' ELSE 'web.hook' END AS receiver,
+  CASE WHEN value > 150 THEN 30000000 WHEN value > 90 THEN 120000000 ELSE 300000000 END AS wait, 300000000 AS every,
+  CASE WHEN value > 150 THEN 1800000000 WHEN value > 90 THEN 3600000000 ELSE 7200000000 END AS repeat FROM pts WHERE value > 60),
+ q AS (SELECT *, row_number() OVER (PARTITION BY host, receiver ORDER BY us, event_id) AS pos FROM a),
+ g AS (SELECT host, receiver, 0::BIGINT AS pos, NULL::BIGINT AS event_id, NULL::BIGINT AS flush, NULL::BIGINT AS seen, NULL::BIGINT AS sent, NULL::BIGINT AS notify_us, NULL::VARCHAR AS reason FROM q GROUP BY host, receiver
+ UNION ALL SELECT host, receiver, pos, event_id, flush, us, CASE WHEN due THEN flush ELSE sent END, CASE WHEN due THEN flush ELSE -1 END,
+  CASE WHEN NOT due THEN 'suppressed' WHEN begins THEN 'first' WHEN NOT fresh AND sent <> flush THEN 'repeat' ELSE 'update' END
+  FROM (SELECT *, fresh OR sent IS NULL OR sent = flush OR flush - sent >= repeat AS due FROM
+   (SELECT host, receiver, pos, event_id, us, fresh, repeat, begins, CASE WHEN begins THEN us + wait WHEN us > flush THEN flush + ((us - flush + every - 1) // every) * every ELSE flush END AS flush,
+     CASE WHEN NOT begins THEN sent END AS sent FROM
+    (SELECT q.*, g.flush, g.sent, g.flush IS NULL OR q.us > greatest(g.seen, g.flush) + 300000000 AS begins FROM g JOIN q ON q.host = g.host AND q.receiver = g.receiver AND q.pos = g.pos + 1))))
+SELECT event_id, host, receiver, notify_us, reason FROM g WHERE pos > 0""")
 def _(t):
     from pulsegrid.operators.joins import route_alerts
     v = F.col("value")

@@ -13,6 +13,7 @@ can tell entering times apart, so that a summary does not grow with the piece.
 from __future__ import annotations
 
 import bisect
+import collections
 
 import numpy as np
 import pandas as pd
@@ -227,6 +228,39 @@ def grouping(us="us", wait="group_wait_s", interval="group_interval_s", repeat="
     return step
 
 
+def earliest_open(window_s: float, us="us", end="end_us", id="id"):
+    """The earliest earlier row that is still open, and not older than the window.
+
+    Open rows are kept by start; one that ends no later than an earlier one is never the earliest, so
+    that ends ascend too and what has ended is at the front."""
+    window = int(window_s * 1_000_000)
+
+    def step(rows: pd.DataFrame, state: dict):
+        held, found, top = collections.deque(state["open"]), [], state["top"]
+        for t, e, i in zip(rows[us].tolist(), rows[end].tolist(), rows[id].tolist()):
+            while held and held[0][1] <= t:
+                held.popleft()
+            found.append(held[0][0] if held else None)
+            e = t + window + 1 if e is None or e != e else min(int(e), t + window + 1)
+            if e > t and (not held or e > held[-1][1]):
+                held.append((i, e))
+            top = t
+        while held and held[0][1] <= top:
+            held.popleft()
+        return rows.assign(parent=pd.Series(found, index=rows.index, dtype=object)), {"open": list(held), "top": top}
+
+    def summarise(rows: pd.DataFrame, _):
+        return step(rows, {"open": [], "top": None})[1]
+
+    def follow(piece: dict, state: dict) -> dict:
+        last = max((e for _, e in state["open"]), default=None)
+        both = state["open"] + [x for x in piece["open"] if last is None or x[1] > last]
+        return {"open": [x for x in both if x[1] > piece["top"]], "top": piece["top"]}
+
+    step.passes = [(summarise, follow)]
+    return step
+
+
 def breaker(failures=5, recovery_s=60.0, successes=3, us="us", ok="success"):
     """Circuit-breaker replay: state after each request, and whether it was let through."""
     wait = int(recovery_s * 1_000_000)
