@@ -13,8 +13,9 @@ p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 The automaton grows with the corpus and is nowhere whole.  Tasks read blocks of documents and
 send each distinct n-gram with its count to the bucket of its hash, one row for each block and
 bucket; buckets add up and answer each block with the corpus counts of what it has sent.  So a
-block gets just the states and arcs that its documents can reach, and traverses them.  A row is
-at most one block's share of a bucket, and a frequent n-gram costs one entry a block.
+block gets just the states and arcs that its documents can reach, builds that part of the automaton
+and traverses it with all its documents side by side.  The documents are read once more for that,
+which moves them through one shuffle only.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pulsegrid.llm import tokens
 
 U = np.uint64
 END, BEGIN = U(0x0123456789ABCDEF), U(0xFEDCBA9876543210)  # words are hashed, these two are not
-#: Tokens of a block, unless one document has more; and of a bucket's share of all tokens.
-BLOCK, SHARE = 3_000_000, 2_000_000
+#: Tokens of a block, unless one document has more; of a bucket's share of all tokens; and of a piece of a traversal.
+BLOCK, SHARE, PIECE = 1_000_000, 2_000_000, 128
 REQUEST = "bucket long, block long, payload binary"
 
 
@@ -59,18 +60,18 @@ class Block:
                    np.concatenate([b.words for b in blocks]),
                    np.concatenate([[0], *[b.bounds[1:] + s for b, s in zip(blocks, shift)]]))
 
-    def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For orders 1 to ``order`` the hash at each token, and where one is.  An n-gram may start
-        with the begin of its text, which the first token follows."""
+    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For orders 1 to ``order`` the key at each token, and where there is one.  An n-gram may start
+        with the begin of its text, which the first token follows.  Keys of words have 64 bits, others 56."""
         place = tokens.spread(np.diff(self.bounds))
-        out = [(self.words, np.ones(len(self.words), bool))]
+        h = self.words
+        yield h, np.ones(len(h), bool)
         for k in range(2, order + 1):
-            shorter = out[-1][0]
-            before = np.concatenate([[BEGIN], shorter[:-1]]).astype(U)
+            before = np.concatenate([[BEGIN], h[:-1]]).astype(U)
             if k == 2:
                 before[place == 0] = BEGIN
-            out.append((tokens.chain(before, self.words), place >= k - 2))
-        return out
+            h = tokens.chain(before, self.words)
+            yield h >> U(8), place >= k - 2
 
     def trained(self) -> np.ndarray:
         return np.repeat(~self.held, np.diff(self.bounds))
@@ -117,11 +118,11 @@ def gaps(ascending: np.ndarray) -> np.ndarray:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, Block]]:
-    """Blocks of about ``most`` tokens with their numbers, which a repeated task gives again."""
+    """Blocks of about ``most`` tokens with their numbers, the same whenever a partition's rows come in the same order."""
     part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            held.append(Block.of(batch.slice(at, 128)))
+        for some in tokens.slices(batch):
+            held.append(Block.of(some))
             size += len(held[-1].words)
             if size >= most:
                 yield (part << 32) + seq, Block.joined(held)
@@ -130,9 +131,9 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
         yield (part << 32) + seq, Block.joined(held)
 
 
-def cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
+def cuts(sorted_hashes: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
     """Bounds of each bucket's share of sorted hashes."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], U)
+    edges = np.array([(k << bits) // buckets for k in range(1, buckets)], U)
     return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
 
 
@@ -165,12 +166,14 @@ def totals(docs: DataFrame, buckets: int, block: int) -> tuple[int, int, int]:
 
 
 def score(docs: DataFrame, order: int = 2, growth: float = 0.95, held: Column | None = None,
-          block: int = BLOCK, share: int = SHARE) -> DataFrame:
+          block: int = BLOCK, share: int = SHARE, piece: int = PIECE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of
     (doc_id, text), learning from the rows that aren't held out.
 
     A null or empty text is its end alone.  Repeated rows count and are scored each.  Without any
-    training row all probabilities are the root's for an unseen token.  Other columns are ignored."""
+    training row all probabilities are the root's for an unseen token.  An empty table gives no rows.
+    Other columns are ignored.  ``docs`` is read more than once and has to give its rows in the same
+    partitions and order, as a table does (see ``session.cut``); else this raises an error."""
     spark = docs.sparkSession
     held = held_out(F.col("doc_id")) if held is None else held
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held.alias("held"))
@@ -182,88 +185,172 @@ def score(docs: DataFrame, order: int = 2, growth: float = 0.95, held: Column |
         for number, b in blocks(batches, block):
             trained, out = b.trained(), [[] for _ in range(buckets)]
             for k, (h, there) in enumerate(b.grams(order)):
-                known, local = np.unique(h[there], return_inverse=True)
-                count = np.bincount(local[trained[there]], minlength=len(known))
+                known, seen = np.unique(h[there]), np.sort(h[there & trained])
+                count = np.searchsorted(seen, known, "right") - np.searchsorted(seen, known)
                 if k == 0:  # the begin of texts is a history too
                     i = int(np.searchsorted(known, BEGIN))
                     known, count = np.insert(known, i, BEGIN), np.insert(count, i, int((~b.held).sum()))
-                at = cuts(known, buckets)
+                at = cuts(known, buckets, 56 if k else 64)
                 for x in range(buckets):
                     out[x] += [gaps(known[at[x]:at[x + 1]]), count[at[x]:at[x + 1]].astype("<u4")]
             yield rows([(x, number, dump(a)) for x, a in enumerate(out) if any(len(y) for y in a)])
-            # the documents pass through a bucket to their block as they are
-            yield rows([((number * 0x9E3779B1) % buckets, ~number, b.save())])
 
     def answer(table: pa.Table) -> pa.Table:
-        numbers, raw = table.column("block").to_pylist(), [x.as_py() for x in table.column("payload")]
-        asked = [(i, undump(x)) for i, x in zip(numbers, raw) if i >= 0]
+        numbers, asked = table.column("block").to_pylist(), [undump(x.as_py()) for x in table.column("payload")]
         replies: list[list[np.ndarray]] = [[] for _ in asked]
         for k in range(order):
-            keys = [np.cumsum(a[2 * k], dtype=U) for _, a in asked] or [np.zeros(0, U)]
+            keys = [np.cumsum(a[2 * k], dtype=U) for a in asked]
             _, local = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(local, weights=np.concatenate([a[2 * k + 1] for _, a in asked] or [np.zeros(0)]))
+            total = np.bincount(local, weights=np.concatenate([a[2 * k + 1] for a in asked]))
             total = total.astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8")
             at = 0
             for reply, x in zip(replies, keys):
                 reply.append(total[local[at:at + len(x)]])
                 at += len(x)
         bucket = table.column("bucket")[0].as_py()
-        out = [(bucket, i, dump(r)) for (i, _), r in zip(asked, replies)]
-        out += [(-1, ~i, x) for i, x in zip(numbers, raw) if i < 0]
-        return pa.Table.from_batches([rows(out)])
-
-    def traverse(table: pa.Table) -> pa.Table:
-        got = sorted(zip(table.column("bucket").to_pylist(), table.column("payload")),
-                     key=lambda x: x[0])
-        b = Block.load(got[0][1].as_py())
-        replies = [undump(x.as_py()) for _, x in got[1:]]
-        counts = [np.concatenate([r[k] for r in replies]).astype(float) for k in range(order)]
-        base, score, n_known = walk(b, counts, n, v, growth)
+        return pa.Table.from_batches([rows([(bucket, i, dump(r)) for i, r in zip(numbers, replies)])])
+
+    def bring(batches):
+        for number, b in blocks(batches, block):
+            yield rows([(-1, number, b.save())])
+
+    def traverse(answers: pa.Table, brought: pa.Table) -> pa.Table:
+        if answers.num_rows == 0 or brought.num_rows != 1:
+            raise ValueError("the documents have not come in the same order again")
+        b = Block.load(brought.column("payload")[0].as_py())
+        place = np.argsort(answers.column("bucket").to_numpy())
+        replies = [undump(answers.column("payload")[i].as_py()) for i in place.tolist()]
+        counts = [np.concatenate([r[k] for r in replies]) for k in range(order)]
+        base, score, n_known = walk(b, counts, n, v, growth, piece)
         return pa.table({
             "doc_id": b.doc_ids, "held_out": pa.array(b.held), "n_tokens": pa.array(np.diff(b.bounds), pa.int64()),
             "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(b.held), n), pa.int64()),
             "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
-    return (docs.mapInArrow(send, REQUEST).groupBy("bucket").applyInArrow(answer, REQUEST)
-            .groupBy("block").applyInArrow(traverse, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-                                                     "train_tokens bigint, base_score double, score double"))
-
-
-def walk(b: Block, counts: list[np.ndarray], n: int, v: int, growth: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    replies = docs.mapInArrow(send, REQUEST).groupBy("bucket").applyInArrow(answer, REQUEST)
+    return (replies.groupBy("block").cogroup(docs.mapInArrow(bring, REQUEST).groupBy("block"))
+            .applyInArrow(traverse, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
+                                    "train_tokens bigint, base_score double, score double"))
+
+
+class Automaton:
+    """The part of the automaton that a block can reach.  State 0 is the root, state 1 the begin of a
+    text; ``arcs`` are sorted numbers state * words + word, with their ``weights`` and ``targets``."""
+
+    def __init__(self, b: Block, counts: list[np.ndarray], n: int, v: int, growth: float):
+        self.words = max(1, len(counts[0]) - 1)
+        arcs, weights, targets, fails, below = [], [], [], [np.zeros(1)], [np.zeros(1, np.int32)]
+        first, states, order = b.bounds[:-1], 2, len(counts)
+        state = p = last = None
+        for k, (h, there) in enumerate(b.grams(order)):
+            where = np.flatnonzero(there).astype(np.int32)
+            known, local = np.unique(h[there], return_inverse=True)
+            local, begin, known = local.astype(np.int32), int(np.searchsorted(known, BEGIN)), len(known)
+            at = np.zeros(known, np.int32)  # a place of each
+            at[local] = where
+            count = counts[k].astype(float)
+            if k == 0:
+                begins, count = count[begin], np.delete(count, begin)
+                self.word = local
+                self.base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
+                self.known = count > 0
+            if len(count) != known:
+                raise ValueError("the documents have not come in the same order again")
+            here = np.zeros(len(h))
+            here[where] = count[local]
+            if k == 0:
+                p = (here + 0.5) / (n + 0.5 * (v + 1))
+                fails.append(self._failure(np.array([begins]), growth))
+                below.append(np.zeros(1, np.int32))
+            else:
+                last[1:] = last[:-1]  # now the counts of histories
+                if k == 1:
+                    last[first] = begins
+                else:
+                    last[0] = 0
+                    last[~there] = 0
+                new = last ** growth
+                new[last == 0] = 1
+                last += new
+                new *= p
+                new += here
+                new /= last
+                p = new
+            on = np.flatnonzero(count > 0)
+            before = state
+            if k + 1 < order:  # what has been counted is a history too
+                number = np.zeros(known, np.int32)
+                number[on] = states + np.arange(len(on))
+                states += len(on)
+                state = np.zeros(len(h), np.int32)
+                state[where] = number[local]
+                fails.append(self._failure(count[on], growth))
+                below.append(np.zeros(len(on), np.int32) if before is None else before[at[on]])
+            # a word that is unknown has an arc at the root all the same
+            some = at if k == 0 else at[on]
+            if k == 0:
+                origin = np.zeros(len(some), np.int64)
+            else:
+                origin = np.where(some > 0, before[some - 1], 0).astype(np.int64)
+            if k == 1:
+                origin[np.isin(some, first)] = 1
+            arcs.append(origin * self.words + self.word[some])
+            weights.append(np.log10(p[some]))
+            targets.append(np.zeros(len(some), np.int32) if state is None else state[some])
+            last = here
+            del local, where, at, h, there
+        self.arcs = np.concatenate(arcs)
+        by = np.argsort(self.arcs).astype(np.int32)
+        self.arcs = self.arcs[by]
+        self.weights, self.targets = np.concatenate(weights)[by], np.concatenate(targets)[by]
+        self.fails, self.below = np.concatenate(fails), np.concatenate(below)
+
+    @staticmethod
+    def _failure(count: np.ndarray, growth: float) -> np.ndarray:
+        """Logarithms of the failure weights of histories of these counts."""
+        new = np.where(count > 0, count ** growth, 1.0)
+        return np.log10(new / (count + new))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a word, and the log-probabilities on the way: failure arcs until a state has
+        an arc for the word."""
+        gain, after = np.zeros(len(state)), np.zeros(len(state), np.int32)
+        state, todo = state.copy(), np.arange(len(state))
+        while len(todo):
+            key = state[todo].astype(np.int64) * self.words + word[todo]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = self.arcs[at] == key
+            there = todo[hit]
+            gain[there] += self.weights[at[hit]]
+            after[there] = self.targets[at[hit]]
+            todo = todo[~hit]
+            gain[todo] += self.fails[state[todo]]
+            state[todo] = self.below[state[todo]]
+        return after, gain
+
+
+def walk(b: Block, counts: list[np.ndarray], n: int, v: int, growth: float, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Base score, score and known tokens of each document of a block.
 
-    The state at a token is its history, longest first.  All tokens of the block move at once: those
-    that have an arc at the state take it, the others add the failure arc's weight and fall to the
-    shorter history; then each document adds up its tokens from left to right."""
-    grams = b.grams(len(counts))
-    per: list[np.ndarray] = []  # for each order the corpus count of the n-gram at each token
-    for k, (h, there) in enumerate(grams):
-        known, local = np.unique(h[there], return_inverse=True)
-        count = counts[k]
-        if k == 0:
-            i = int(np.searchsorted(known, BEGIN))
-            begins, count = count[i], np.delete(count, i)
-        full = np.zeros(len(h))
-        full[there] = count[local]
-        per.append(full)
-    root = (per[0] + 0.5) / (n + 0.5 * (v + 1))
-    first = b.bounds[:-1]
-    p, arcs, fails = root, [np.log10(root)], [np.zeros(len(root))]
-    for k in range(1, len(counts)):
-        history = np.concatenate([[0.0], per[k - 1][:-1]])
-        if k == 1:
-            history[first] = begins
-        else:
-            history[~grams[k][1]] = 0
-        new = np.where(history > 0, history ** growth, 1.0)
-        p = (per[k] + new * p) / (history + new)
-        arcs.append(np.log10(p))
-        fails.append(np.log10(new / (history + new)))
-    log, open_ = np.zeros(len(root)), np.ones(len(root), bool)
-    for k in reversed(range(len(counts))):
-        arc = open_ & ((per[k] > 0) | (k == 0))
-        log[arc] += arcs[k][arc]
-        open_ &= ~arc
-        log[open_] += fails[k][open_]
-    add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-    return add(np.log10(root)), add(log), add((per[0] > 0).astype(np.int64))
+    Documents are cut into pieces that are traversed from left to right, all at once; a state does not
+    reach back over more than order - 1 tokens, so a piece starts with those before it, unscored."""
+    if not len(b.held):
+        return np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+    machine, back = Automaton(b, counts, n, v, growth), len(counts) - 1
+    pieces = -(-np.diff(b.bounds) // piece)
+    doc = np.repeat(np.arange(len(pieces)), pieces)
+    own = b.bounds[doc] + piece * tokens.spread(pieces)
+    end = np.minimum(own + piece, b.bounds[doc + 1])
+    at = np.maximum(own - back, b.bounds[doc])
+    long_first = np.argsort(at - end, kind="stable")
+    doc, own, end, at = (x[long_first] for x in (doc, own, end, at))
+    state = ((at == b.bounds[doc]) & (back > 0)).astype(np.int32)
+    total, length = np.zeros(len(doc)), end - at
+    for k in range(int(length.max())):
+        some = int(np.searchsorted(-length, -k))  # the pieces that are longer than k
+        i = at[:some] + k
+        state[:some], gain = machine.step(state[:some], machine.word[i])
+        total[:some] += np.where(i >= own[:some], gain, 0)
+    score = np.bincount(doc, weights=total, minlength=len(pieces))
+    add = lambda x: np.add.reduceat(x, b.bounds[:-1])
+    return add(machine.base[machine.word]), score, add(machine.known[machine.word].astype(np.int64))
