@@ -4,7 +4,8 @@ A seed is a mask of word positions; the hash of the words at its ones ignores th
 changed word spoils only the seeds that look at it.  Test and training hashes are joined, and
 around each hit the two texts are compared word by word on the hit's diagonal.  A window of 13
 words of an item that a document has with at most two words changed holds at least one of the
-two masks unspoilt, at one of its offsets, so that every such overlap is found.
+two masks unspoilt, at one of its offsets, so that every such overlap is found.  Shorter items are
+one window, of which four fifths must be in place, and have shorter masks of their own.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pulsegrid.session import cut
 
 #: Every choice of two of 13 places leaves one of these a place where it fits between.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
+#: One of 5 to 9 places, or two of 10 to 12, leave one of these a place between.
+SHORT_MASKS = ((0, 1, 2), (0, 1, 3))
 WINDOW, PERCENT = 13, 80
-#: Items shorter than the window count only whole and unchanged, from this many words on.
+#: Items of fewer words are too common a phrase to tell anything.
 SHORTEST = 5
 PUNCTUATION = ".,;:!?\"'()[]{}"
 
@@ -32,7 +35,8 @@ def words(text: Column) -> Column:
 def seeds(hashes: Column, masks) -> Column:
     """All seeds of an array of word hashes, as an array of (place, hash)."""
     parts = []
-    for number, mask in enumerate(masks):
+    for mask in masks:
+        number = (*MASKS, *SHORT_MASKS).index(mask)
         span = mask[-1] + 1
         at = lambda i: F.struct(
             i.alias("place"), F.xxhash64(F.lit(number), *[F.get(hashes, i + m) for m in mask]).alias("seed"))  # noqa: B023
@@ -46,19 +50,22 @@ def _seeded(df: DataFrame, masks, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(seeds(F.col("h"), masks)).alias("s")).select(*keep, "s.place", "s.seed")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, key (hash of doc_id and text), item_id, item_words and matched: the most words equal in
     a window of the item aligned with the document, for every document and item that overlap.
 
     An item overlaps a document that has one of its windows of 13 words with 80 % of the words in
-    place; an item of 5 to 12 words, if the document has it whole; a shorter one never.  Null and
-    empty texts overlap nothing.  Repeated rows count once.  A null doc_id is a document like others.
+    place; an item of ``shortest`` to 12 words, if the document has 80 % of its words in place; a
+    shorter one never (``shortest`` is 3 at least).  Null and empty texts overlap nothing.  Repeated rows count once.  A null doc_id is a document like others.
     Other columns are ignored; an empty table gives no rows."""
-    items = cut(benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHORTEST).distinct())
+    if shortest < 1 + SHORT_MASKS[0][-1]:
+        raise ValueError("items need three words")
+    items = cut(benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= shortest).distinct())
     docs = docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"), words(F.col("text")).alias("w"))
-    masks = MASKS if items.where(F.size("w") < WINDOW).isEmpty() else (*MASKS, tuple(range(SHORTEST)))
-    # a seed's hits: a short item needs its first words, which the contiguous mask has
-    test = _seeded(items, masks, "item_id").groupBy("seed", "item_id").agg(F.collect_set("place").alias("at"))
+    brief = F.size("w") < WINDOW
+    masks = MASKS if items.where(brief).isEmpty() else (*MASKS, *SHORT_MASKS)
+    test = (_seeded(items.where(~brief), MASKS, "item_id").union(_seeded(items.where(brief), SHORT_MASKS, "item_id"))
+            .groupBy("seed", "item_id").agg(F.collect_set("place").alias("at")))
     hits = (_seeded(docs, masks, "key").join(small(test), "seed")
             .select("key", "item_id", F.explode("at").alias("at"), "place")
             .select("key", "item_id", (F.col("place") - F.col("at")).alias("shift")).distinct())
@@ -77,7 +84,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     best = same.select("doc_id", "key", "item_id", "n", F.array_max(F.transform(
         F.sequence(F.lit(0), F.col("n") - width),
         lambda j: F.aggregate(F.slice("e", j + 1, width), F.lit(0), lambda a, b: a + b))).alias("matched"))
-    good = F.when(F.col("n") >= WINDOW, 100 * F.col("matched") >= PERCENT * WINDOW).otherwise(F.col("matched") == F.col("n"))
+    good = 100 * F.col("matched") >= PERCENT * F.least(F.lit(WINDOW), F.col("n"))
     return (best.where(good).groupBy("doc_id", "key", "item_id")
             .agg(F.max("n").cast("bigint").alias("item_words"), F.max("matched").cast("bigint").alias("matched")))
 
@@ -89,7 +96,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap no item, all columns as they were."""
+    """The rows of ``docs`` that overlap no item, all columns as they were.
+
+    Rows with null or empty texts stay; repeated rows, and rows that share a doc_id, are judged each by
+    its own text.  An empty table gives none."""
     bad = overlaps(docs, benchmark).select(F.col("key").alias("__bad")).distinct()
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     return docs.join(small(cut(bad)), key == F.col("__bad"), "left_anti")

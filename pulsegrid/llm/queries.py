@@ -40,15 +40,18 @@ PLAIN_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''),
 @register("op2_spaced_seeds", rf"""
 WITH d AS (SELECT doc_id, {PLAIN_SQL} AS w FROM documents),
 b AS (SELECT item_id, {PLAIN_SQL} AS w FROM benchmark),
-dg AS (SELECT doc_id, unnest(range(len(w) - 3)) AS p, w FROM d WHERE len(w) >= 4),
-bg AS (SELECT item_id, unnest(range(len(w) - 3)) AS q, w FROM b WHERE len(w) >= 13),
-h AS (SELECT DISTINCT doc_id, item_id, p - q AS s FROM (SELECT doc_id, p, array_to_string(w[p+1:p+4], ' ') AS g FROM dg) x
-  JOIN (SELECT item_id, q, array_to_string(w[q+1:q+4], ' ') AS g FROM bg) y USING (g)),
+z(k, least, most) AS (VALUES (4, 13, 1000000000), (2, 5, 12)),
+dg AS (SELECT doc_id, k, unnest(range(len(w) - k + 1)) AS p, w FROM d, z WHERE len(w) >= k AND EXISTS
+  (SELECT 1 FROM b WHERE len(b.w) BETWEEN least AND most)),
+bg AS (SELECT item_id, k, unnest(range(len(w) - k + 1)) AS q, w FROM b JOIN z ON len(w) BETWEEN least AND most),
+h AS (SELECT DISTINCT doc_id, item_id, p - q AS s FROM (SELECT doc_id, p, array_to_string(w[p+1:p+k], ' ') AS g, k FROM dg) x
+  JOIN (SELECT item_id, q, array_to_string(w[q+1:q+k], ' ') AS g, k FROM bg) y USING (g, k)),
 e AS (SELECT doc_id, item_id, s, len(b.w) AS n, j,
   CASE WHEN s + j >= 0 AND s + j < len(d.w) AND d.w[greatest(s + j, 0) + 1] = b.w[j + 1] THEN 1 ELSE 0 END AS e
   FROM h JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(len(b.w))) AS o(j)),
 m AS (SELECT doc_id, item_id, n, j, sum(e) OVER (PARTITION BY doc_id, item_id, s ORDER BY j ROWS 12 PRECEDING) AS m FROM e)
-SELECT doc_id, item_id, max(n) AS item_words, max(m)::BIGINT AS matched FROM m WHERE j >= 12 AND m >= 11 GROUP BY ALL""")
+SELECT doc_id, item_id, max(n) AS item_words, max(m)::BIGINT AS matched FROM m
+WHERE j >= least(n, 13) - 1 AND 100 * m >= 80 * least(n, 13) GROUP BY ALL""")
 def op2(spark, folder):
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
