@@ -45,7 +45,7 @@ def temperatures(t):
 @query("t03_detect_temperature", f"""WITH {TEMP_SQL} SELECT event_id, CASE WHEN value < 60 OR value > 80 THEN 'threshold_violation' ELSE 'statistical_outlier' END AS kind,
  CASE WHEN value < 60 OR value > 80 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM th WHERE value < 60 OR value > 80 OR (n > 20 AND abs(value - m) > 2 * s)""")
 def _(t):
-    return St.run_append(St.detect_temperature(temperatures(live(t))).select("event_id", "kind", "confidence"))
+    return St.temperature_stream(temperatures(live(t))).select("event_id", "kind", "confidence")
 
 
 @query("t04_detect_motion", f"WITH {EDGE} SELECT event_id, 'unusual_timing' AS kind, 0.6::DOUBLE AS confidence FROM edge WHERE metric_name = 'motion' AND value > 0 AND (hour(ts) < 6 OR hour(ts) > 22)")
@@ -57,7 +57,7 @@ def _(t):
 SELECT event_id, 'consumption_spike' AS kind, 0.9::DOUBLE AS confidence FROM e WHERE n > 10 AND value > m * 2 UNION ALL SELECT event_id, 'high_latency', 0.8 FROM edge WHERE metric_name = 'latency' AND value * 10 > 500""")
 def _(t):
     e = St.with_us(edge(live(t)).where("metric_name = 'energy'"))
-    spikes = St.run_append(St.detect_energy(e).select("event_id", "kind", "confidence"))
+    spikes = St.energy_stream(e).select("event_id", "kind", "confidence")
     n = edge(live(t)).where("metric_name = 'latency'").withColumn("value", F.col("value") * 10)
     return spikes.unionByName(St.run_append(St.detect_network(n).select("event_id", "kind", "confidence")))
 

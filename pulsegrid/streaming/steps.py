@@ -19,6 +19,50 @@ import numpy as np
 import pandas as pd
 
 
+def forgetting(step, zero: dict, ttl_s: float, us="us"):
+    """A step whose key starts anew once it has been silent for longer than ``ttl_s``.
+
+    The state gets ``at``, the time of the last row."""
+    ttl = int(ttl_s * 1_000_000)
+
+    def inner(state: dict, t: int) -> dict:
+        """The state that a row at ``t`` finds."""
+        now = {k: v for k, v in state.items() if k != "at"}
+        return dict(zero) if state["at"] is None or t - state["at"] > ttl else now
+
+    def parts(rows: pd.DataFrame) -> list[pd.DataFrame]:
+        t = rows[us].to_numpy("int64")
+        edges = [0, *(np.flatnonzero(np.diff(t) > ttl) + 1).tolist(), len(t)]
+        return [rows.iloc[a:b].reset_index(drop=True) for a, b in zip(edges, edges[1:])]
+
+    def run(rows: pd.DataFrame, state: dict):
+        made, now = [], state
+        for part in parts(rows):
+            out, now = step(part, inner(now, int(part[us].iloc[0])))
+            now = {**now, "at": int(part[us].iloc[-1])}
+            made.append(out)
+        return pd.concat(made, ignore_index=True), now
+
+    def passing(summarise, follow):
+        def whole(rows: pd.DataFrame, entry: dict | None):
+            first, *rest = parts(rows)
+            begin, end = int(first[us].iloc[0]), int(rows[us].iloc[-1])
+            # after a silence within the piece nothing of the entry is left
+            after = step(rest[-1], dict(zero))[1] if rest else None
+            return {"begin": begin, "end": end, "after": after,
+                    "piece": None if rest else summarise(first, entry and inner(entry, begin))}
+
+        def through(piece: dict, state: dict) -> dict:
+            now = piece["after"] if piece["after"] is not None else follow(piece["piece"], inner(state, piece["begin"]))
+            return {**now, "at": piece["end"]}
+        return whole, through
+
+    run.passes = [passing(*p) for p in getattr(step, "passes", [])]
+    run.lists = getattr(step, "lists", {})
+    run.expires = lambda state: state["at"] + ttl
+    return run
+
+
 def temperature(col="value", low=60.0, high=80.0, memory=100, warm=20):
     """Out of range, else two deviations off the last ``memory`` values once more than
     ``warm`` are known."""
@@ -32,6 +76,8 @@ def temperature(col="value", low=60.0, high=80.0, memory=100, warm=20):
         kind = kind[len(past):]
         out = rows.assign(kind=kind, confidence=np.select([kind == "threshold_violation", kind == "statistical_outlier"], [0.8, 0.7], 0.0))
         return out[out["kind"] != ""], {"h": v.tail(memory).tolist()}
+
+    step.lists = {"h": "DOUBLE"}
     return step
 
 
@@ -46,6 +92,8 @@ def energy(col="value", factor=2.0, recent=10):
         hit = (n > recent) & (rows[col].to_numpy(float) > mean * factor)
         out = rows.assign(kind="consumption_spike", confidence=0.9)[hit]
         return out, {"h": v.tail(recent).tolist(), "n": int(n[-1])}
+
+    step.lists = {"h": "DOUBLE"}
     return step
 
 
@@ -66,6 +114,19 @@ def lifecycle(flag="breach", us="us"):
             first_us=first[turn].astype("int64").to_numpy(), last_us=seen[turn].astype("int64").to_numpy())
         now = {"open": int(first.iloc[-1]), "seen": int(seen.iloc[-1])} if hit[-1] else {"open": None, "seen": None}
         return out, now
+
+    def summarise(rows: pd.DataFrame, _):
+        """The last stretch of breaches, and whether the piece is nothing else."""
+        hit, t = rows[flag].fillna(False).to_numpy(bool), rows[us].to_numpy("int64")
+        calm = np.flatnonzero(~hit)
+        begin = int(calm[-1]) + 1 if len(calm) else 0
+        return {"open": int(t[begin]) if hit[-1] else None, "seen": int(t[-1]) if hit[-1] else None, "all": not len(calm)}
+
+    def follow(piece: dict, state: dict) -> dict:
+        first = state["open"] if piece["all"] and state["open"] is not None else piece["open"]
+        return {"open": first, "seen": piece["seen"]}
+
+    step.passes = [(summarise, follow)]
     return step
 
 
@@ -114,6 +175,8 @@ def rate_limit(period_s: float, us="us"):
         return state if last is None else {"last": last}
 
     step.passes = [(summarise, follow)]
+    # a notification after the period finds what a first one finds
+    step.expires = lambda state: None if state["last"] is None else state["last"] + period
     return step
 
 
@@ -225,6 +288,7 @@ def grouping(us="us", wait="group_wait_s", interval="group_interval_s", repeat="
         return {"flush": piece["flush"], "seen": piece["seen"], "sent": out}
 
     step.passes = [(when, follow_when), (sent, follow_sent)]
+    step.expires = lambda state: max(state["seen"], state["flush"]) + quiet_us
     return step
 
 
@@ -362,4 +426,7 @@ def history(memory=1000, ttl_s=86400.0, us="us"):
         size = np.minimum(at - np.searchsorted(t, t[at] - ttl, side="left") + 1, memory)
         keep = t[max(0, len(t) - memory):]
         return rows.assign(history_size=size.astype("int64")), {"t": keep[keep >= t[-1] - ttl].tolist()}
+
+    step.lists = {"t": "BIGINT"}
+    step.expires = lambda state: state["t"][-1] + ttl
     return step

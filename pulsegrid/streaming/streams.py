@@ -4,17 +4,17 @@ unless they say otherwise; stateful ones come as a pair with one shared step."""
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from pulsegrid.functions import scalars as S
 from pulsegrid.operators.predicates import breaches, data_quality
 from pulsegrid.operators.windows import last_n, latest
-from pulsegrid.scale import fold, largest_group, moving, previous, scan
-from pulsegrid.session import scratch_path
+from pulsegrid.scale import fold, largest_group, moving, newest, previous, scan
+from pulsegrid.session import cut, scratch_path
 from pulsegrid.streaming import steps
 
 
@@ -61,30 +61,108 @@ def run_update(stream: DataFrame, keys: Sequence[str], path: str | None = None)
     return latest(spark.read.schema(schema).parquet(path), keys, ["batch_no"]).drop("batch_no")
 
 
-def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, zero: dict,
-               out: T.StructType | str) -> DataFrame:
-    """The streaming form of :func:`pulsegrid.scale.fold`: state per key between batches."""
-    keys, order = list(keys), list(order)
-    schema = T._parse_datatype_string(out) if isinstance(out, str) else out
-    start = json.dumps(zero)
+def run_carried(stream: DataFrame, keys: Sequence[str], order: Sequence[str], back: int, work: Callable[[DataFrame], DataFrame],
+                path: str | None = None, limit: int | None = None) -> DataFrame:
+    """Everything available now through a batch operator that looks back over ``back`` rows of a key.
+
+    Each batch is joined by the last rows of its keys, which the batch before has left as a table, and
+    the operator runs on both as on any frame, so that a key that holds most of a stream is spread
+    like one of a batch.  Results and rows left are written under the batch's number: a batch that is
+    repeated after a failure writes the same again."""
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, "stream")
+    schema = T.StructType([*stream.schema.fields, T.StructField("__new", T.BooleanType())])
 
-    def advance(key, batches: Iterable[pd.DataFrame], state):
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable").reset_index(drop=True)
-        made, now = step(rows, json.loads(state.get[0] if state.exists else start))
-        state.update((json.dumps(now),))
+    def write(batch: DataFrame, number: int) -> None:
+        here = batch.withColumn("__new", F.lit(True))
+        if number:
+            left = spark.read.schema(stream.schema).parquet(f"{path}/left/{number - 1}")
+            here = here.unionByName(left.withColumn("__new", F.lit(False)))
+        here = cut(here)
+        work(here).where("__new").drop("__new").write.mode("overwrite").parquet(f"{path}/out/batch_no={number}")
+        newest(here, keys, [F.desc(o) for o in order], back, limit).select(stream.columns).write.mode("overwrite").parquet(f"{path}/left/{number}")
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = T.StructType([*work(spark.createDataFrame([], schema)).drop("__new").schema.fields, T.StructField("batch_no", T.IntegerType())])
+    return spark.read.schema(out).parquet(f"{path}/out").drop("batch_no")
+
+
+class Keyed(StatefulProcessor):
+    """A step over the rows of a key, batch by batch.
+
+    Lists of the state are list states, what else it holds is one value.  Where the step says when a
+    state has run out (``step.expires``), a timer of event time removes it."""
+
+    def __init__(self, step: Callable, zero: dict, order: Sequence[str], names: Sequence[str], timed: bool):
+        self.step, self.zero, self.order, self.names, self.timed = step, zero, list(order), list(names), timed
+        self.kinds = getattr(step, "lists", {})
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", "state STRING, timer BIGINT")
+        self.lists = {k: handle.getListState(k, f"v {kind}") for k, kind in self.kinds.items()}
+
+    def handleInputRows(self, key, rows, timerValues):
+        rows = pd.concat(list(rows)).sort_values(self.order, kind="stable").reset_index(drop=True)
+        held = self.value.get()
+        state, timer = (json.loads(held[0]), held[1]) if held else (dict(self.zero), None)
+        if held:
+            state.update({k: [x[0] for x in v.get()] if v.exists() else [] for k, v in self.lists.items()})
+        made, state = self.step(rows, state)
+        if self.timed:
+            ends = self.step.expires(state)
+            due = None if ends is None else ends // 1000 + 1
+            if due != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if due is not None:
+                    self.handle.registerTimer(due)
+                timer = due
+        for k, v in self.lists.items():
+            if state[k]:
+                v.put([(x,) for x in state[k]])
+            else:
+                v.clear()
+        self.value.update((json.dumps({k: x for k, x in state.items() if k not in self.lists}), timer))
         if len(made):
-            yield made[schema.names]
+            yield made[self.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.value.clear()
+        for v in self.lists.values():
+            v.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, zero: dict,
+               out: T.StructType | str, late: str | None = "0 seconds", clock: str = "us") -> DataFrame:
+    """The streaming form of :func:`pulsegrid.scale.fold`: state per key between batches.
 
-    return stream.groupBy(*keys).applyInPandasWithState(
-        advance, schema, "state STRING", "append", GroupStateTimeout.NoTimeout)
+    State that has run out by the step's own rule goes once the watermark, ``late`` behind the newest
+    ``clock`` (microseconds), has passed its end; what is later than that is dropped, as it would find
+    no state.  With ``late`` None no row is dropped and no state goes."""
+    schema = T._parse_datatype_string(out) if isinstance(out, str) else out
+    timed = late is not None and hasattr(step, "expires")
+    processor = Keyed(step, zero, order, schema.names, timed)
+    if timed:
+        stream = stream.withColumn("__time", F.timestamp_micros(clock)).withWatermark("__time", late)
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime" if timed else "None")
 
 
 def _extend(df: DataFrame, extra: str) -> T.StructType:
     return T.StructType(df.schema.fields + T._parse_datatype_string(extra).fields)
 
 
-def _either(df: DataFrame, keys, order, step, zero, out, limit=None) -> DataFrame:
-    return keyed_fold(df, keys, order, step, zero, out) if df.isStreaming else fold(df, keys, order, step, zero, out, limit)
+def _either(df: DataFrame, keys, order, step, zero, out, limit=None, late="1 hour") -> DataFrame:
+    return keyed_fold(df, keys, order, step, zero, out, late) if df.isStreaming else fold(df, keys, order, step, zero, out, limit)
+
+
+def _lasting(step, zero: dict, ttl_s: float | None):
+    return (step, zero) if ttl_s is None else (steps.forgetting(step, zero, ttl_s), {**zero, "at": None})
 
 
 def with_us(df: DataFrame, ts="ts") -> DataFrame:
@@ -116,7 +194,10 @@ ANOMALY = "kind STRING, confidence DOUBLE"
 
 def detect_temperature(df: DataFrame, keys: Sequence[str] = ("metric_name",), order: Sequence[str] = ("us", "event_id"),
                        value="value", limit: int | None = None) -> DataFrame:
-    """Temperature anomalies; history per metric as a rule, per device if asked."""
+    """Temperature anomalies; history per metric as a rule, per device if asked.
+
+    As a stream each key's history is one state: for keys that hold much of the stream see
+    :func:`temperature_stream`."""
     if df.isStreaming:
         return keyed_fold(df, keys, order, steps.temperature(value), {"h": []}, _extend(df, ANOMALY))
     d = last_n(df, keys, order, value, 100, ["mean", "std", "count"], "__h", limit)
@@ -128,6 +209,12 @@ def detect_temperature(df: DataFrame, keys: Sequence[str] = ("metric_name",), or
         .drop("__h_mean", "__h_std", "__h_count")
 
 
+def temperature_stream(stream: DataFrame, keys: Sequence[str] = ("metric_name",), order: Sequence[str] = ("us", "event_id"),
+                       limit: int | None = None, **cols) -> DataFrame:
+    """Temperature anomalies of a stream whose history is that of a whole metric, over all devices."""
+    return run_carried(stream, keys, order, 99, lambda d: detect_temperature(d, keys, order, limit=limit, **cols), limit=limit)
+
+
 def detect_motion(df: DataFrame, value="value", ts="ts") -> DataFrame:
     """Motion at unusual hours."""
     return df.where((F.col(value) > 0) & S.unusual_hour(ts)).withColumns(
@@ -146,6 +233,12 @@ def detect_energy(df: DataFrame, keys: Sequence[str] = ("metric_name",), order:
         {"kind": F.lit("consumption_spike"), "confidence": F.lit(0.9)})
 
 
+def energy_stream(stream: DataFrame, keys: Sequence[str] = ("metric_name",), order: Sequence[str] = ("us", "event_id"),
+                  limit: int | None = None, **cols) -> DataFrame:
+    """Energy spikes of a stream whose history is that of a whole metric, over all devices."""
+    return run_carried(stream, keys, order, 10, lambda d: detect_energy(d, keys, order, limit=limit, **cols), limit=limit)
+
+
 def detect_network(df: DataFrame, metric="metric_name", value="value") -> DataFrame:
     """Latency above 500 ms or throughput below 1 Mbps."""
     slow = (F.col(metric) == "latency") & (F.col(value) > 500)
@@ -157,12 +250,17 @@ def detect_network(df: DataFrame, metric="metric_name", value="value") -> DataFr
 # --- alerting -------------------------------------------------------------
 
 def alert_lifecycle(df: DataFrame, keys: Sequence[str] = ("rule_id", "host"), order: Sequence[str] = ("us", "event_id"),
-                    flag="breach", limit: int | None = None) -> DataFrame:
-    """open and resolve events of each alert, with its first and last breach."""
+                    flag="breach", limit: int | None = None, ttl_s: float | None = None) -> DataFrame:
+    """open and resolve events of each alert, with its first and last breach.
+
+    ``ttl_s`` (streams): an alert that has no row for as long is forgotten without an event."""
     keep = [c for c in df.columns if c != flag]
     if df.isStreaming:
         out = _extend(df, "event STRING, first_us BIGINT, last_us BIGINT")
-        return keyed_fold(df, keys, order, steps.lifecycle(flag), {"open": None, "seen": None}, out).drop(flag)
+        return keyed_fold(df, keys, order, *_lasting(steps.lifecycle(flag), {"open": None, "seen": None}, ttl_s), out, "1 hour").drop(flag)
+    if ttl_s is not None:
+        out = _extend(df, "event STRING, first_us BIGINT, last_us BIGINT")
+        return fold(df, keys, order, *_lasting(steps.lifecycle(flag), {"open": None, "seen": None}, ttl_s), out, limit).drop(flag)
     d = df.withColumn("__b", F.coalesce(flag, F.lit(False)))
     fullest = largest_group(d, keys)
     d = previous(d, keys, [F.col(o) for o in order], {"__was": "__b"}, limit, fullest)
@@ -188,9 +286,10 @@ def group_alerts(df: DataFrame, keys: Sequence[str] = ("host", "service", "alert
 
 
 def breaker_states(df: DataFrame, keys: Sequence[str] = ("src", "dst"), order: Sequence[str] = ("us", "event_id"),
-                   failures: int = 5, recovery_s: float = 60.0, successes: int = 3, limit: int | None = None) -> DataFrame:
-    """Replays a request log through a circuit breaker per key."""
-    return _either(df, keys, order, steps.breaker(failures, recovery_s, successes), steps.BREAKER_ZERO,
+                   failures: int = 5, recovery_s: float = 60.0, successes: int = 3, limit: int | None = None,
+                   ttl_s: float | None = None) -> DataFrame:
+    """Replays a request log through a circuit breaker per key; a key silent for ``ttl_s`` starts anew."""
+    return _either(df, keys, order, *_lasting(steps.breaker(failures, recovery_s, successes), steps.BREAKER_ZERO, ttl_s),
                    _extend(df, "state STRING, executed BOOLEAN, failures BIGINT"), limit)
 
 
@@ -205,9 +304,9 @@ def breaker_stats(states: DataFrame, keys: Sequence[str], as_of: Column, minutes
 
 
 def recovery_state(df: DataFrame, keys: Sequence[str] = ("service",), order: Sequence[str] = ("us", "event_id"),
-                   attempts: int = 3, limit: int | None = None) -> DataFrame:
-    """Attempt counter per service; blocked after too many failures in a row."""
-    return _either(df, keys, order, steps.recovery(attempts), {"n": 0, "blocked": False},
+                   attempts: int = 3, limit: int | None = None, ttl_s: float | None = None) -> DataFrame:
+    """Attempt counter per service; blocked after too many failures in a row, until silent for ``ttl_s``."""
+    return _either(df, keys, order, *_lasting(steps.recovery(attempts), {"n": 0, "blocked": False}, ttl_s),
                    _extend(df, "action STRING, attempts BIGINT"), limit)
 
 
@@ -215,7 +314,7 @@ def bounded_history(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (
                     ttl_s: float = 86400.0, ts="ts", limit: int | None = None) -> DataFrame:
     """History size per row under a row cap and a time to live."""
     if df.isStreaming:
-        return keyed_fold(df, keys, order, steps.history(memory, ttl_s), {"t": []}, _extend(df, "history_size BIGINT"))
+        return keyed_fold(df, keys, order, steps.history(memory, ttl_s), {"t": []}, _extend(df, "history_size BIGINT"), "1 hour")
     d = moving(df.withColumn("__one", F.lit(1)), keys, {"history_size": ("count", "__one")}, ts=ts, span_s=ttl_s, closed=True)
     return d.withColumn("history_size", F.least(F.lit(memory).cast("long"), "history_size")).drop("__one")
 

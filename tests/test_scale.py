@@ -102,6 +102,10 @@ STEPS = {
     "grouping": (lambda g: steps.grouping(resolve_s=float(g.integers(20, 80))), {"flush": None, "seen": None, "sent": None}, ["notify_us", "reason"]),
 }
 
+for _name, _ttl in (("breaker", 60), ("recovery", 35), ("grouping", 150)):
+    STEPS[f"forgetting {_name}"] = (lambda g, m=STEPS[_name][0], z=STEPS[_name][1], t=_ttl: steps.forgetting(m(g), z, t),
+                                    {**STEPS[_name][1], "at": None}, STEPS[_name][2])
+
 
 @pytest.mark.parametrize("name", STEPS)
 def test_summaries_follow_the_steps(name):
@@ -134,7 +138,7 @@ def test_summaries_do_not_grow_with_pieces():
             g = np.random.default_rng(1)
             rows = pd.DataFrame({"us": np.arange(n) * 1_000_000, "success": g.random(n) < 0.7, "is_new": False, "group_wait_s": 10,
                                  "group_interval_s": 30, "repeat_interval_s": 600})
-            state = [None, {"flush": 0, "seen": 0, "sent": None}]
+            state = [None, {"flush": 0, "seen": 0, "sent": None, "at": 0}]
             step = STEPS[name][0](g)
             sizes.append(sum(len(json.dumps(summarise(rows, e))) for (summarise, _), e in zip(step.passes, state)))
         assert sizes[1] < 1.5 * sizes[0] + 100, name

@@ -239,3 +239,81 @@ def test_a_backlog_is_taken_in_batches_of_bounded_bytes(spark, tmp_path, monkeyp
     q.awaitTermination()
     assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == batches
     assert spark.read.parquet(f"{tmp_path}/out").count() == 90
+
+
+@pytest.mark.parametrize("limit", [None, 40])
+def test_history_of_a_whole_metric(spark, data, rows, limit):
+    """The last rows of a key are carried from batch to batch; a crowded key is cut up in each."""
+    batch, live = pair(spark, data)
+    warm = lambda d: d.select("event_id", "us", F.lit("t").alias("k"), (F.col("value") / 10 + 66).alias("value"))
+    cols = ["event_id", "kind", "confidence"]
+    assert rows(St.temperature_stream(warm(live), ["k"], limit=limit), *cols) == rows(St.detect_temperature(warm(batch), ["k"]), *cols)
+    spikes = lambda d: d.select("event_id", "us", F.lit("e").alias("k"), "value")
+    want = rows(St.detect_energy(spikes(batch), ["k"]), *cols)
+    assert rows(St.energy_stream(spikes(live), ["k"], limit=limit), *cols) == want and want
+
+
+@pytest.mark.parametrize("ttl", [150.0, 1e6])
+def test_keys_that_fall_silent_start_anew(spark, data, rows, ttl):
+    calls = (
+        (lambda d, **x: St.breaker_states(d.withColumn("success", F.col("value") < 45), ["k"], failures=3, recovery_s=300, successes=2, ttl_s=ttl, **x),
+         ["event_id", "state", "executed", "failures"]),
+        (lambda d, **x: St.recovery_state(d.withColumn("success", F.col("value") < 40), ["k"], ttl_s=ttl, **x), ["event_id", "action", "attempts"]),
+        (lambda d, **x: St.alert_lifecycle(d.select("event_id", "k", "us", (F.col("value") > 45).alias("breach")), ["k"], ttl_s=ttl, **x),
+         ["event_id", "event", "first_us", "last_us"]))
+    for fn, cols in calls:
+        want = check(fn, spark, data, rows, cols)
+        batch, _ = pair(spark, data)
+        assert rows(fn(batch, limit=13), *cols) == want
+        plain = rows(fn(batch), *cols)
+        assert plain == want
+    attempts, n, blocked, last = [], {}, set(), {}
+    for i, k, ts, v in data[1]:
+        if k in last and (ts - last[k]).total_seconds() > ttl:
+            n.pop(k, None)
+            blocked.discard(k)
+        last[k] = ts
+        if k in blocked or n.get(k, 0) >= 3:
+            blocked.add(k)
+            attempts.append((i, "blocked", 3))
+            continue
+        n[k] = 0 if v < 40 else n.get(k, 0) + 1
+        attempts.append((i, "attempt", n[k]))
+    batch, _ = pair(spark, data)
+    assert rows(calls[1][0](batch), *calls[1][1]) == sorted(attempts, key=repr)
+
+
+@pytest.mark.parametrize("name", ["rate_limit", "group_alerts", "bounded_history", "alert_lifecycle", "breaker_states", "recovery_state"])
+def test_state_of_silent_keys_is_removed(spark, tmp_path, name):
+    """Twenty keys are heard once, then one key for three days: only its state is left."""
+    schema = "event_id long, k string, ts timestamp, value double"
+    first = [(i, f"k{i}", T0 + timedelta(seconds=i), 50.0) for i in range(20)]
+    later = [[(100 + n, "last", T0 + timedelta(days=n + 1), 50.0)] for n in range(3)]
+    for n, some in enumerate([first, *later]):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # the order of files is that of their times
+    live = St.with_us(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    fn = {
+        "rate_limit": lambda d: St.rate_limit(d, 600, ["k"]),
+        "group_alerts": lambda d: St.group_alerts(d.withColumns({"group_wait_s": F.lit(30), "group_interval_s": F.lit(120),
+                                                                 "repeat_interval_s": F.lit(400), "is_new": F.lit(True)}), ["k"]),
+        "bounded_history": lambda d: St.bounded_history(d, ["k"], memory=5, ttl_s=3600.0),
+        "alert_lifecycle": lambda d: St.alert_lifecycle(d.select("event_id", "k", "us", (F.col("value") > 45).alias("breach")), ["k"], ttl_s=3600.0),
+        "breaker_states": lambda d: St.breaker_states(d.withColumn("success", F.lit(False)), ["k"], ttl_s=3600.0),
+        "recovery_state": lambda d: St.recovery_state(d.withColumn("success", F.lit(False)), ["k"], ttl_s=3600.0)}[name]
+    q = (fn(live).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    keys = spark.read.format("statestore").option("stateVarName", "value").load(f"{tmp_path}/state").select("key.k").collect()
+    assert [r.k for r in keys] == ["last"]
+    counts = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(counts) >= 20 and counts[-1] <= 8
+
+
+def test_state_without_an_end_stays(spark, tmp_path):
+    rows = [(i, f"k{i}", T0 + timedelta(days=i), 50.0) for i in range(5)]
+    for r in rows:
+        spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live = St.with_us(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"))
+    St.run_append(St.recovery_state(live.withColumn("success", F.lit(False)), ["k"]), f"{tmp_path}/out")
+    assert spark.read.format("statestore").option("stateVarName", "value").load(f"{tmp_path}/out-state").count() == 5
