@@ -11,33 +11,36 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.operators import kernels
-from pulsegrid.scale import BROADCAST_ROWS, GROUP_LIMIT, positions
+from pulsegrid.scale import GROUP_LIMIT, positions
 from pulsegrid.session import cut
 
+#: Points of a box that is decided by its points.
+LEAF = 2000
 
-def components(nodes: DataFrame, edges: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components as (node, component): the smallest node of each.
 
-    Alternates the large-star and small-star steps, which need a number of rounds
-    logarithmic in the graph's size.  A graph of at most ``bound`` edges is solved in one
-    task."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    Each task first joins what a batch of its edges connects, which leaves an edge a node; then large-star
+    and small-star steps alternate, which need a number of rounds logarithmic in the graph's size."""
+    def local(batches):
+        for pdf in batches:
+            found = kernels.union_find(zip(pdf["u"].tolist(), pdf["v"].tolist()))
+            yield pd.DataFrame([x for x in found.items() if x[0] != x[1]], columns=["u", "v"]).astype("int64")
+
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    e = cut(e.mapInPandas(local, "u long, v long").distinct())
 
     def mark(d):
         return tuple(d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     seen = mark(e)
-    if seen[0] <= bound:
-        def solve(pdf):
-            found = kernels.union_find(zip(pdf["u"], pdf["v"]))
-            return pd.DataFrame({"u": list(found), "v": list(found.values())}).astype("int64")
-
-        e = e.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(solve, "u long, v long")
-    while seen[0] > bound:
+    while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -89,46 +92,69 @@ def _shift(cell, offsets) -> Column:
     return F.array(*[F.array(*[F.get(cell, F.lit(i)) + F.lit(v) for i, v in enumerate(o)]) for o in offsets])
 
 
-def _linked_cells(dense: DataFrame, points: DataFrame, side: float, eps2: float, d: int, levels: int = 15) -> DataFrame:
+def _touch(eps2: float):
+    """Of pairs of point sets (a, b, ax, bx) those with two points within eps, each set sorted into a
+    kd-tree of small leaves whose boxes rule most of the other set out."""
+    def run(batches):
+        for pdf in batches:
+            hit = [kernels.closer_than(np.array(p.tolist()), np.array(q.tolist()), eps2) for p, q in zip(pdf["ax"], pdf["bx"])]
+            yield pdf.loc[hit, ["a", "b"]]
+    return run
+
+
+def _linked_cells(dense: DataFrame, points: DataFrame, side: float, eps2: float, d: int, leaf: int = LEAF) -> DataFrame:
     """Pairs (a, b) of neighbouring dense cells that have two points within eps.
 
-    Boxes around the points decide most pairs; the rest is decided by quartering the cells
-    again and again, keeping only box pairs that are still open."""
+    Boxes around the points decide most pairs.  Of the others those with at most ``leaf`` points in
+    either box are decided by their points; larger ones are quartered, and only box pairs that are
+    still open go on, until all are that small."""
     half = [o for o in _offsets(d) if o > tuple([0] * d)]
-    left = dense.select(F.col("node").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"),
+    size = F.col("members").alias("n")
+    left = dense.select(F.col("node").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), size.alias("an"),
                         F.explode(_shift("cell", half)).alias("cell"))
-    pairs = left.join(dense.select("cell", F.col("node").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "cell") \
-        .select("a", "b", "alo", "ahi", "blo", "bhi", F.lit(None).cast("array<bigint>").alias("asub"), F.lit(None).cast("array<bigint>").alias("bsub"))
+    none = F.lit(None).cast("array<bigint>")
+    pairs = left.join(dense.select("cell", F.col("node").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), size.alias("bn")), "cell") \
+        .select("a", "b", "alo", "ahi", "blo", "bhi", "an", "bn", none.alias("asub"), none.alias("bsub"))
     boxes = (F.col("alo"), F.col("ahi"), F.col("blo"), F.col("bhi"), d)
-    found = None
-    for level in range(1, levels + 1):
+    found, level, subs = None, 0, points.select("node", none.alias("sub"), "x")
+    while True:
         judged = cut(pairs.withColumns({"gap": _box_gap2(*boxes), "reach": _box_reach2(*boxes)}).where(F.col("gap") <= eps2))
         hit = judged.where(F.col("reach") <= eps2).select("a", "b").distinct()
-        found = hit if found is None else found.unionByName(hit)
         open_ = judged.where(F.col("reach") > eps2).join(hit, ["a", "b"], "left_anti")
+        few = (F.col("an") <= leaf) & (F.col("bn") <= leaf)
+        near = open_.where(few)
+        used = near.select(F.col("a").alias("node"), F.col("asub").alias("sub")).union(near.select("b", "bsub")).distinct()
+        same = F.col("l.node").eqNullSafe(F.col("r.node")) & F.col("l.sub").eqNullSafe(F.col("r.sub"))
+        sets = subs.alias("l").join(used.alias("r"), same, "left_semi").groupBy("node", "sub").agg(F.collect_list("x").alias("x"))
+        of = lambda p: sets.select(F.col("node").alias(f"{p}node"), F.col("sub").alias(f"{p}key"), F.col("x").alias(f"{p}x"))
+        on = lambda p: (F.col(p) == F.col(f"{p}node")) & F.col(f"{p}sub").eqNullSafe(F.col(f"{p}key"))
+        met = near.join(of("a"), on("a")).join(of("b"), on("b")).select("a", "b", "ax", "bx").mapInPandas(_touch(eps2), "a long, b long")
+        hit = cut(hit.unionByName(met).distinct())
+        found = hit if found is None else found.unionByName(hit)
+        open_ = cut(open_.where(~few).join(hit, ["a", "b"], "left_anti"))
         if open_.isEmpty():
             return found.distinct()
+        level += 1
         cells = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
         sub = F.transform("x", lambda v: F.floor(v / (side / 4 ** level)))
-        subs = points.join(cells, "node", "left_semi").withColumn("sub", sub).groupBy("node", "sub").agg(*_box(d)) \
+        subs = cut(points.join(cells, "node", "left_semi").select("node", sub.alias("sub"), "x"))
+        grid = subs.groupBy("node", "sub").agg(*_box(d), F.count(F.lit(1)).alias("n")) \
             .withColumn("up", F.transform("sub", lambda v: F.shiftright(v, 2)))
 
         def side_of(p):
-            return subs.select(F.col("node").alias(p), F.col("up").alias(f"{p}sub"), F.col("sub").alias(f"{p}new"),
-                               F.col("lo").alias(f"{p}lo"), F.col("hi").alias(f"{p}hi"))
+            return grid.select(F.col("node").alias(p), F.col("up").alias(f"{p}sub"), F.col("sub").alias(f"{p}new"),
+                               F.col("lo").alias(f"{p}lo"), F.col("hi").alias(f"{p}hi"), F.col("n").alias(f"{p}n"))
 
         narrow = open_.select("a", "b", "asub", "bsub")
         if level == 1:
             grown = narrow.select("a", "b").join(side_of("a").drop("asub"), "a").join(side_of("b").drop("bsub"), "b")
         else:
             grown = narrow.join(side_of("a"), ["a", "asub"]).join(side_of("b"), ["b", "bsub"])
-        pairs = grown.select("a", "b", "alo", "ahi", "blo", "bhi", F.col("anew").alias("asub"), F.col("bnew").alias("bsub"))
-    # boxes this small hold points that differ by less than eps / 4**levels
-    last = pairs.where(_box_gap2(*boxes) <= eps2).select("a", "b")
-    return found.unionByName(last).distinct()
+        pairs = grown.select("a", "b", "alo", "ahi", "blo", "bhi", "an", "bn", F.col("anew").alias("asub"), F.col("bnew").alias("bsub"))
 
 
-def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: int = 5, limit: int | None = None) -> DataFrame:
+def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: int = 5, limit: int | None = None,
+           leaf: int = LEAF) -> DataFrame:
     """Adds ``cluster`` (−1 for noise) and ``is_core`` to the rows of ``df``.
 
     A border point that several clusters reach goes to the one with the smallest number.
@@ -166,7 +192,7 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     to_core = near.where("dense").select("pid", "to").unionByName(
         near.where(~F.col("dense")).join(core_to, "to", "left_semi").select("pid", "to"))
     to_core = cut(to_core)
-    edges = _linked_cells(dense, full.where("dense").select("node", "x"), side, eps2, d).unionByName(
+    edges = _linked_cells(dense, full.where("dense").select("node", "x"), side, eps2, d, leaf).unionByName(
         to_core.join(core, "pid", "left_semi").select(F.col("pid").alias("a"), F.col("to").alias("b")))
     comp = cut(components(nodes, edges))
     number = positions(comp.select("component").distinct().withColumn("__all", F.lit(0)), ["__all"], [F.col("component")], "cluster", limit) \

@@ -117,3 +117,33 @@ def union_find(pairs) -> dict:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     return {x: find(x) for x in list(root)}
+
+
+def kd_leaves(x: np.ndarray, size: int = 48) -> list[np.ndarray]:
+    """Rows of ``x`` in groups of at most ``size``, halved at the median of the widest axis."""
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        axis = int(np.argmax(np.ptp(x[rows], axis=0)))
+        rows = rows[np.argsort(x[rows, axis], kind="stable")]
+        todo += [rows[:len(rows) // 2], rows[len(rows) // 2:]]
+    return out
+
+
+def closer_than(p: np.ndarray, q: np.ndarray, eps2: float) -> bool:
+    """Do a point of ``p`` and one of ``q`` have a squared distance of at most ``eps2``?  Leaves are
+    compared in order of their boxes' distance."""
+    a, b = kd_leaves(p), kd_leaves(q)
+    box = lambda x, rows: (np.array([x[r].min(axis=0) for r in rows]), np.array([x[r].max(axis=0) for r in rows]))
+    (alo, ahi), (blo, bhi) = box(p, a), box(q, b)
+    gap = np.maximum(0, np.maximum(blo[None] - ahi[:, None], alo[:, None] - bhi[None]))
+    gap = (gap * gap).sum(axis=2)
+    i, j = np.nonzero(gap <= eps2)
+    for k in np.argsort(gap[i, j], kind="stable").tolist():
+        apart = p[a[i[k]]][:, None] - q[b[j[k]]][None]
+        if ((apart * apart).sum(axis=2) <= eps2).any():
+            return True
+    return False

@@ -91,13 +91,13 @@ def brute_dbscan(pts, eps, k):
     return core, own
 
 
-@pytest.mark.parametrize("dims,eps,k,limit", [(1, 0.3, 4, None), (2, 0.5, 5, None), (2, 0.35, 5, 20), (3, 0.9, 6, None)])
-def test_dbscan_equals_brute_force(spark, dims, eps, k, limit):
+@pytest.mark.parametrize("dims,eps,k,limit,leaf", [(1, 0.3, 4, None, 2000), (2, 0.5, 5, None, 2000), (2, 0.35, 5, 20, 3), (2, 0.5, 5, None, 1), (3, 0.9, 6, None, 2000)])
+def test_dbscan_equals_brute_force(spark, dims, eps, k, limit, leaf):
     rng = np.random.default_rng(dims)
     pts = np.r_[rng.normal(0, 0.6, (120, dims)), rng.normal(4, 0.4, (60, dims)), rng.uniform(-6, 8, (40, dims)), np.full((30, dims), 2.05)]
     cols = [f"c{i}" for i in range(dims)]
     d = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id int, " + ", ".join(f"{c} double" for c in cols))
-    got = {r.id: (r.cluster, r.is_core) for r in cluster.dbscan(d, cols, eps, k, limit).collect()}
+    got = {r.id: (r.cluster, r.is_core) for r in cluster.dbscan(d, cols, eps, k, limit, leaf).collect()}
     core, own = brute_dbscan(pts, eps, k)
     assert len(got) == len(pts)
     names = {}
@@ -124,15 +124,36 @@ def test_dense_cells_link_only_within_eps(spark):
     assert run(0.499) == 1 and run(0.501) == 2
 
 
-@pytest.mark.parametrize("bound", [100_000, 0])
-def test_components(spark, bound):
+def test_close_sets():
+    for seed in range(200):
+        g = np.random.default_rng(seed)
+        d = int(g.integers(1, 4))
+        p, q = g.random((int(g.integers(1, 300)), d)), g.random((int(g.integers(1, 300)), d)) + g.random(d) * 1.2
+        least = ((p[:, None] - q[None]) ** 2).sum(axis=2).min()
+        assert kernels.closer_than(p, q, least) and not kernels.closer_than(p, q, np.nextafter(least, 0))
+
+
+@pytest.mark.parametrize("leaf", [2000, 2])
+def test_cells_far_finer_than_any_level(spark, leaf):
+    """Two points of dense cells that miss eps by less than a cell quartered fifteen times is wide."""
+    for gap, clusters in ((0.5, 1), (0.5 * (1 + 1e-12), 2)):
+        left = [(-0.01 * k, 0.3 * (k % 2)) for k in range(6)]
+        pts = left + [(gap + 0.01 * k, 0.3 * (1 - k % 2)) for k in range(6)]
+        pts[0], pts[6] = (0.0, 0.0), (gap, 0.0)
+        d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "id int, x double, y double")
+        d = d.where("x <= 0 and y < 0.1 or x > 0.1 and y < 0.1")
+        n = len({r.cluster for r in cluster.dbscan(d, ["x", "y"], 0.5, 3, leaf=leaf).collect()})
+        assert n == clusters
+
+
+def test_components(spark):
     rng = np.random.default_rng(3)
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 30)]
     rand = [(int(a), int(b)) for a, b in rng.integers(200, 260, (35, 2))]
     edges = chain + star + rand
     nodes = sorted(set(itertools.chain(*edges)) | {999})
-    got = cluster.components(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "a long, b long"), bound)
+    got = cluster.components(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "a long, b long"))
     want = kernels.union_find(edges)
     assert {r.node: r.component for r in got.collect()} == {n: want.get(n, n) for n in nodes}
 
