@@ -3,8 +3,9 @@ that grows with the data joins on equal keys and is reduced before it is shuffle
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.scalars import metric_family, short_id
@@ -72,22 +73,32 @@ def correlate(alerts: DataFrame, window_s: int = 300, id="alert_id", ts="first_s
     resolved by doubling.
     """
     kind = alerts.schema[id].dataType.simpleString()
+    keys = [F.col(service), F.col(host), metric_family(metric)]
     d = alerts.select(F.col(id).alias("id"), F.unix_micros(ts).alias("us"),
                       (F.unix_micros(resolved) if resolved else F.lit(None).cast("bigint")).alias("end_us"),
-                      F.nullif(F.col(service), F.lit("")).alias("k_service"), F.nullif(F.col(host), F.lit("")).alias("k_host"),
-                      F.nullif(metric_family(metric), F.lit("")).alias("k_family")).where("us IS NOT NULL")
-    links = alerts.select(F.col(id).alias("id"))
-    for k in ("k_service", "k_host", "k_family"):
-        found = fold(d.where(F.col(k).isNotNull()).select("id", "us", "end_us", k), [k], ["us", "id"], earliest_open(window_s),
-                     {"open": [], "top": None}, f"id {kind}, parent {kind}", limit)
-        links = links.join(found.where("parent IS NOT NULL").withColumnRenamed("parent", k), "id", "left")
-    links = cut(links.select("id", F.coalesce("k_service", "k_host", "k_family", "id").alias("root")))
+                      F.posexplode(F.array(*[F.nullif(k, F.lit("")) for k in keys])).alias("kind", "key"))
+    d = cut(d.where("us IS NOT NULL AND key IS NOT NULL"))
+    found = fold(d, ["kind", "key"], ["us", "id"], earliest_open(window_s), {"open": [], "top": None},
+                 f"id {kind}, us bigint, kind int, parent {kind}", limit)
+    up = found.where("parent IS NOT NULL").groupBy("id").agg(F.min_by("parent", "kind").alias("root"), F.min("us").alias("us"))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links followed as far as a batch holds them; an alert's link is to an earlier one."""
+        for pdf in batches:
+            pdf, root = pdf.sort_values(["us", "id"]), {}
+            for i, r in zip(pdf["id"], pdf["root"]):
+                root[i] = root.get(r, r)
+            yield pd.DataFrame({"id": pdf["id"], "root": pd.Series(list(root.values()), index=pdf.index, dtype=pdf["root"].dtype)})
+
+    # an alert of a group is near its link in time, so that most are followed within a batch
+    links = cut(up.repartitionByRange("us", "id").sortWithinPartitions("us", "id").mapInPandas(near, f"id {kind}, root {kind}"))
     while True:
-        up = links.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        nxt = cut(links.join(up, "root").select("id", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")))
+        above = links.select(F.col("id").alias("root"), F.col("root").alias("above"))
+        nxt = cut(links.join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
         links = nxt.select("id", "root")
         if nxt.where("moved").isEmpty():
             break
+    links = alerts.select(F.col(id).alias("id")).distinct().join(links, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     return alerts.join(links.select(F.col("id").alias(id), F.concat(
         F.lit("corr-"), short_id("root")).alias("correlation_group"), F.col("root").alias("group_root")), id)
 
