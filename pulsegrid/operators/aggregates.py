@@ -156,20 +156,22 @@ def p95_rank(n: Column) -> list[Column]:
     return [F.least(F.floor(F.lit(0.95) * n), n - 1)]
 
 
-def federate(samples: DataFrame, rules: DataFrame, limit: int | None = None) -> DataFrame:
+def federate(samples: DataFrame, rules: DataFrame, limit: int | None = None, aggregations: dict | None = None) -> DataFrame:
     """One row per metric over all nodes by the rule's method (unknown means average).
 
-    samples: (metric, node, value, weight); rules: (metric_name, method)."""
+    samples: (metric, node, value, weight); rules: (metric_name, method).  ``aggregations``: those that
+    rules may name, see :func:`pulsegrid.operators.registry.register_aggregation`."""
     from pulsegrid.operators.joins import with_agg_rule
 
-    known = [*AGGREGATIONS, "percentile_95"]
+    aggregations = AGGREGATIONS if aggregations is None else aggregations
+    known = [*aggregations, "percentile_95"]
     method = F.when(F.col("method").isin(*known), F.col("method")).otherwise("average")
     d = with_agg_rule(samples, rules).withColumn("__m", method)
     v, w = F.col("value"), F.coalesce(F.col("weight"), F.lit(1.0))
 
     def pick(i):
         out = F.lit(None).cast("double")
-        for name, fns in AGGREGATIONS.items():
+        for name, fns in aggregations.items():
             out = F.when(F.first("__m") == name, fns[0](v, w) if i == 0 else fns[1]()).otherwise(out)
         return out
 

@@ -1,4 +1,6 @@
-"""Named aggregations, processors and rules that users extend."""
+"""Named aggregations, processors and rules that users extend.
+
+Registering gives a new registry, to be passed on, and leaves the one it began with as it was."""
 
 from __future__ import annotations
 
@@ -12,9 +14,9 @@ from pulsegrid.sources.readers import add_rule  # noqa: F401
 
 
 def register_aggregation(name: str, value: Callable[[Column, Column], Column],
-                         confidence: Callable[[], Column] = lambda: F.lit(1.0)) -> None:
-    """Make ``name`` usable in aggregation rules: ``value(value, weight)`` is an aggregate."""
-    AGGREGATIONS[name] = (value, confidence)
+                         confidence: Callable[[], Column] = lambda: F.lit(1.0), known: dict = AGGREGATIONS) -> dict:
+    """The aggregations ``known`` with ``name`` for use in rules: ``value(value, weight)`` is an aggregate."""
+    return {**known, name: (value, confidence)}
 
 
 # Metric -> (rating, score) of a value at a time.
@@ -29,15 +31,16 @@ PROCESSORS: dict[str, Callable[[Column, Column], tuple[Column, Column]]] = {
 }
 
 
-def register_processor(metric: str, fn: Callable[[Column, Column], tuple[Column, Column]]) -> None:
-    PROCESSORS[metric] = fn
+def register_processor(metric: str, fn: Callable[[Column, Column], tuple[Column, Column]], known: dict = PROCESSORS) -> dict:
+    """The processors ``known`` with one for ``metric``: ``fn(value, time)`` gives rating and score."""
+    return {**known, metric: fn}
 
 
-def process(df: DataFrame, metric="metric_name", value="value", ts="ts") -> DataFrame:
+def process(df: DataFrame, metric="metric_name", value="value", ts="ts", processors: dict = PROCESSORS) -> DataFrame:
     """Rating and score by the processor registered for each metric; null without one."""
     m, v, t = F.col(metric), F.col(value), F.col(ts)
     rating, score = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for name, fn in PROCESSORS.items():
+    for name, fn in processors.items():
         r, s = fn(v, t)
         rating, score = F.when(m == name, r).otherwise(rating), F.when(m == name, s.cast("double")).otherwise(score)
     return df.withColumns({"rating": rating, "score": score})

@@ -172,18 +172,18 @@ def _(t):
 @query("x01_register_aggregation", f"""WITH {NODE_SQL}, x AS (SELECT metric || '@' || node AS metric, value FROM ns)
 SELECT metric, CASE WHEN starts_with(metric, 'A') THEN 'spread' ELSE 'nonsense' END AS method, round(CASE WHEN starts_with(metric, 'A') THEN max(value) - min(value) ELSE avg(value) END, 2) AS value FROM x GROUP BY metric""")
 def _(t):
-    X.register_aggregation("spread", lambda v, w: F.max(v) - F.min(v))
+    known = X.register_aggregation("spread", lambda v, w: F.max(v) - F.min(v))
     s = t.node_samples.withColumn("metric", F.concat_ws("@", "metric", "node"))
     rules = s.select(F.col("metric").alias("metric_name"),
                      F.when(F.col("metric").startswith("A"), "spread").otherwise("nonsense").alias("method")).distinct()
-    return G.federate(s, rules).select("metric", "method", r6("value", 2).alias("value"))
+    return G.federate(s, rules, aggregations=known).select("metric", "method", r6("value", 2).alias("value"))
 
 
 @query("x02_register_processor", f"""WITH {EDGE} SELECT event_id, CASE metric_name WHEN 'failed_login_attempts' THEN CASE WHEN value > 100 THEN 'loud' ELSE 'calm' END
  WHEN 'energy' THEN CASE WHEN value < 100 THEN 'excellent' WHEN value < 500 THEN 'good' WHEN value < 1000 THEN 'fair' ELSE 'poor' END END AS rating FROM edge WHERE metric_name IN ('failed_login_attempts','energy')""")
 def _(t):
-    X.register_processor("failed_login_attempts", lambda v, ts: (F.when(v > 100, "loud").otherwise("calm"), v))
-    return X.process(edge(t)).where(F.col("metric_name").isin("failed_login_attempts", "energy")).select("event_id", "rating")
+    known = X.register_processor("failed_login_attempts", lambda v, ts: (F.when(v > 100, "loud").otherwise("calm"), v))
+    return X.process(edge(t), processors=known).where(F.col("metric_name").isin("failed_login_attempts", "energy")).select("event_id", "rating")
 
 
 @query("x03_add_rule", """SELECT 'cpu_usage' AS metric, 'high_cpu_usage' AS rule_id, 50.0::DOUBLE AS threshold, count(*) AS breaches FROM events WHERE event_type = 'view' AND value > 50

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pulsegrid.functions.scalars import flatten
 from pulsegrid.scale import as_of_column
@@ -150,10 +153,42 @@ def apply_retention(df: DataFrame, days: int, as_of=None, ts="time") -> DataFram
     return df.where(F.col(ts) >= F.timestamp_micros(F.unix_micros(end) - days * 86_400_000_000))
 
 
+MANIFEST = "version BIGINT, folder STRING, columns STRING, n_rows BIGINT"
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    """The newest line of a table's manifest, or none."""
+    try:
+        lines = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return lines.orderBy(F.desc("version")).limit(1).collect()
+
+
 def rebuild_table(df: DataFrame, path: str) -> DataFrame:
-    """Replace the table at ``path`` and return it."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Replace the table at ``path`` and return it.
+
+    The rows are staged in a folder of their own, and only when that is whole does the table's
+    manifest get a line that names it.  So a rebuild that fails leaves the rows that were there,
+    and who reads the table meanwhile goes on reading the version it began with.  One rebuild at a time."""
+    spark, last = df.sparkSession, _versions(df.sparkSession, path)
+    version = last[0].version + 1 if last else 0
+    folder = f"rows/{version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    n = spark.read.schema(df.schema).parquet(f"{path}/{folder}").count()
+    line = spark.createDataFrame([(version, folder, df.schema.json(), n)], MANIFEST)
+    line.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return current_table(spark, path)
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of the table that :func:`rebuild_table` keeps at ``path``."""
+    last = _versions(spark, path)
+    if not last:
+        raise ValueError(f"no table at {path}")
+    return spark.read.schema(T.StructType.fromJson(json.loads(last[0].columns))).parquet(f"{path}/{last[0].folder}")
 
 
 # Priority mark per channel and severity, colour per severity.

@@ -15,6 +15,7 @@ from pulsegrid.operators.predicates import breaches, data_quality
 from pulsegrid.operators.windows import last_n, latest
 from pulsegrid.scale import fold, largest_group, moving, newest, previous, scan
 from pulsegrid.session import cut, scratch_path
+from pulsegrid.sources.sinks import current_table
 from pulsegrid.streaming import steps
 
 
@@ -88,6 +89,24 @@ def run_carried(stream: DataFrame, keys: Sequence[str], order: Sequence[str], ba
     return spark.read.schema(out).parquet(f"{path}/out").drop("batch_no")
 
 
+def run_with_table(stream: DataFrame, table: str, work: Callable[[DataFrame, DataFrame], DataFrame], path: str | None = None) -> DataFrame:
+    """Everything available now through ``work(batch, table)``, where the table is read anew for each batch.
+
+    ``table`` is a path kept by :func:`pulsegrid.sources.sinks.rebuild_table`: rules that are replaced while
+    the stream runs hold from the next batch on.  A batch that is repeated after a failure has the rules
+    that are there then."""
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        work(batch, current_table(spark, table)).write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    schema = work(spark.createDataFrame([], stream.schema), current_table(spark, table)).schema
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_no", T.IntegerType())])).parquet(path).drop("batch_no")
+
+
 class Keyed(StatefulProcessor):
     """A step over the rows of a key, batch by batch.
 
