@@ -28,10 +28,15 @@ def read_metrics(spark: SparkSession, path: str, measurement: str, since_s: int,
     """One measurement of a point store over ``[as_of - since_s, as_of]``.
 
     The store is partitioned by measurement and date, so the partition filter and the
-    time filter both reach the scan.
+    time filter both reach the scan.  Without ``as_of`` the newest time is looked for in the
+    newest date alone, which the names of the partitions tell.
     """
-    df = spark.read.parquet(path).where(F.col("measurement") == measurement)
-    end = as_of_column(spark.read.parquet(path).select("time"), "time", as_of)
+    store = spark.read.parquet(path)
+    df = store.where(F.col("measurement") == measurement)
+    if as_of is None:
+        day = store.agg(F.max("date")).first()[0]
+        store = store.where(F.col("date") == F.lit(day).cast(store.schema["date"].dataType))
+    end = as_of_column(store.select("time"), "time", as_of)
     start = F.timestamp_micros(F.unix_micros(end) - since_s * 1_000_000)
     df = df.where((F.col("time") >= start) & (F.col("date") >= F.to_date(start)) & (F.col("time") <= end))
     if fields is None:
@@ -41,13 +46,15 @@ def read_metrics(spark: SparkSession, path: str, measurement: str, since_s: int,
 
 
 def read_first_nonempty(dfs: Sequence[DataFrame]) -> DataFrame:
-    """All rows of the first frame in the list that has any."""
-    tagged = None
-    for i, d in enumerate(dfs):
-        part = d.withColumn("__rank", F.lit(i))
-        tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
-    first = tagged.agg(F.min("__rank")).scalar()
-    return tagged.where(F.col("__rank") == first).drop("__rank")
+    """All rows of the first frame in the list that has any, with the columns of all.
+
+    Frames are probed for one row each in order, up to the first that has it; those behind are not read."""
+    chosen = next((d for d in dfs if not d.isEmpty()), dfs[-1])
+    columns = None
+    for d in dfs:  # what is limited to no rows is not scanned, but gives its columns
+        part = d if d is chosen else d.limit(0)
+        columns = part if columns is None else columns.unionByName(part, allowMissingColumns=True)
+    return columns
 
 
 VECTOR = ("status STRING, data STRUCT<result: ARRAY<STRUCT<metric: MAP<STRING,STRING>, "

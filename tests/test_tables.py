@@ -75,3 +75,32 @@ def test_registries_are_passed_on(spark):
     d = spark.createDataFrame([("door", 1.0)], "metric_name string, value double").withColumn("ts", F.timestamp_seconds(F.lit(0)))
     assert X.process(d, processors=rated).first().rating == "open" and X.process(d).first().rating is None
     assert (G.AGGREGATIONS, X.PROCESSORS) == before
+
+
+def test_the_newest_time_is_looked_for_in_one_partition(spark, tmp_path, capsys):
+    path = str(tmp_path / "store")
+    d = spark.sql("""SELECT 'cpu' AS measurement, timestamp_seconds(1735689600 + 3600 * id) AS time, map('host', 'a') AS tags,
+                     map('v', double(id)) AS fields FROM range(72)""").withColumn("date", F.to_date("time"))
+    d.write.partitionBy("measurement", "date").parquet(path)
+    got = R.read_metrics(spark, path, "cpu", 7200, fields=["v"])
+    assert sorted(r.v for r in got.collect()) == [69.0, 70.0, 71.0]
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    # the scan for the newest time has the date as a constant
+    assert "2025-01-03" in plan or "20091" in plan
+    assert R.read_metrics(spark, path, "cpu", 7200, as_of="2025-01-01 05:00:00", fields=["v"]).count() == 3
+
+
+def test_the_first_frame_with_rows(spark):
+    touched = spark.sparkContext.accumulator(0)
+
+    def heard(n):
+        def run(batches):
+            for b in batches:
+                touched.add(1)
+                yield b
+        return spark.range(n).repartition(1).mapInPandas(run, "id long")
+    empty, full, behind = spark.range(0).select("id"), spark.range(3).select("id", F.lit(1).alias("x")), heard(4)
+    got = R.read_first_nonempty([empty, full, behind])
+    assert sorted((r.id, r.x) for r in got.collect()) == [(0, 1), (1, 1), (2, 1)] and touched.value == 0
+    assert R.read_first_nonempty([empty, empty]).count() == 0
