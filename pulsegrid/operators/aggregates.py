@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.scale import (GROUP_LIMIT, as_of_column, fold, join_keys, largest_group, newest, positions, scan)
+from pulsegrid.session import cut
 
 
 def _c(c) -> Column:
@@ -167,6 +168,9 @@ def federate(samples: DataFrame, rules: DataFrame, limit: int | None = None, agg
     known = [*aggregations, "percentile_95"]
     method = F.when(F.col("method").isin(*known), F.col("method")).otherwise("average")
     d = with_agg_rule(samples, rules).withColumn("__m", method)
+    exact = not rules.where("method = 'percentile_95'").isEmpty()
+    if exact:  # read by the sums, the count of ranks and the ranks, but made once
+        d = cut(d.select("metric", "method", "value", "weight", "__m"))
     v, w = F.col("value"), F.coalesce(F.col("weight"), F.lit(1.0))
 
     def pick(i):
@@ -177,7 +181,7 @@ def federate(samples: DataFrame, rules: DataFrame, limit: int | None = None, agg
 
     agg = d.groupBy("metric", "method").agg(
         pick(0).alias("value"), pick(1).alias("confidence"), rows().alias("n"), F.first("__m").alias("__m"))
-    if rules.where("method = 'percentile_95'").isEmpty():
+    if not exact:
         return agg.drop("__m")
     p95 = value_at_rank(d.where("__m = 'percentile_95'"), ["metric"], "value", {"__p95": p95_rank}, limit)
     ranked = F.col("__m") == "percentile_95"
