@@ -4,9 +4,12 @@ unless they say otherwise; stateful ones come as a pair with one shared step."""
 from __future__ import annotations
 
 import json
+import sys
+import threading
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -14,10 +17,13 @@ from pulsegrid.functions import scalars as S
 from pulsegrid.operators.predicates import breaches, data_quality
 from pulsegrid.operators.windows import last_n, latest
 from pulsegrid.scale import fold, largest_group, moving, newest, previous, scan
-from pulsegrid.session import cut, scratch_path
+from pulsegrid.session import PROVIDER, ROCKSDB, cut, scratch_path
 from pulsegrid.sources.sinks import current_table
 from pulsegrid.streaming import steps
 
+# Spark looks at a stateful operator in a worker of the driver too, which may not find this package
+for module in (steps, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(module)
 
 # --- running streams ------------------------------------------------------
 
@@ -36,12 +42,26 @@ def events_stream(spark: SparkSession, folder: str, glob: str = "events.parquet"
     return r.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+_starting = threading.Lock()
+
+
 def run_append(stream: DataFrame, path: str | None = None) -> DataFrame:
-    """Process everything available now into a table and return the table."""
+    """Process everything available now into a table and return the table.
+
+    List states and timers need the RocksDB state store.  A stream keeps the settings that the session
+    has when it starts, so the session's default store gives way for that moment only."""
     spark = stream.sparkSession
     path = path or scratch_path(spark, "stream")
-    q = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
-         .outputMode("append").trigger(availableNow=True).start())
+    writer = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
+              .outputMode("append").trigger(availableNow=True))
+    with _starting:
+        store = spark.conf.get(PROVIDER)
+        try:
+            if store.endswith(".HDFSBackedStateStoreProvider"):
+                spark.conf.set(PROVIDER, ROCKSDB)
+            q = writer.start()
+        finally:
+            spark.conf.set(PROVIDER, store)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 

@@ -1,5 +1,7 @@
 """A stream read in several batches must equal the batch form, which must equal a plain loop."""
 
+import subprocess
+import sys
 import time
 from datetime import datetime, timedelta
 
@@ -317,3 +319,25 @@ def test_state_without_an_end_stays(spark, tmp_path):
     live = St.with_us(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"))
     St.run_append(St.recovery_state(live.withColumn("success", F.lit(False)), ["k"]), f"{tmp_path}/out")
     assert spark.read.format("statestore").option("stateVarName", "value").load(f"{tmp_path}/out-state").count() == 5
+
+
+def test_stateful_streams_in_a_session_without_settings(spark, data, rows):
+    """The session's own state store holds no lists and timers; it is the session's again afterwards."""
+    from pulsegrid.session import PROVIDER
+    own, plain = spark.conf.get(PROVIDER), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(PROVIDER, plain)
+    try:
+        check(lambda d: St.bounded_history(d, ["k"], memory=20, ttl_s=3000), spark, data, rows, ["event_id", "history_size"])
+        assert spark.conf.get(PROVIDER) == plain
+    finally:
+        spark.conf.set(PROVIDER, own)
+
+
+def test_processors_load_without_the_package(tmp_path):
+    """Spark's worker of the driver gets the pickled processor, but not the files of the session."""
+    from pyspark.serializers import CPickleSerializer
+    made = [St.Keyed(step, {}, ["us"], ["us"], hasattr(step, "expires")) for step in (
+        steps.rate_limit(5), steps.grouping(), steps.history(20, 60), steps.forgetting(steps.breaker(3, 60, 2), steps.BREAKER_ZERO, 60))]
+    (tmp_path / "p").write_bytes(CPickleSerializer().dumps(made))
+    code = "import pickle; print(len(pickle.load(open('p', 'rb'))))"
+    assert subprocess.run([sys.executable, "-P", "-c", code], cwd=tmp_path, env={}, capture_output=True, text=True).stdout == "4\n"
