@@ -11,8 +11,8 @@ import itertools
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.operators import kernels
@@ -92,13 +92,19 @@ def _shift(cell, offsets) -> Column:
     return F.array(*[F.array(*[F.get(cell, F.lit(i)) + F.lit(v) for i, v in enumerate(o)]) for o in offsets])
 
 
-def _touch(eps2: float):
+def _touch(eps2: float, d: int):
     """Of pairs of point sets (a, b, ax, bx) those with two points within eps, each set sorted into a
-    kd-tree of small leaves whose boxes rule most of the other set out."""
+    kd-tree of small leaves whose boxes rule most of the other set out.
+
+    A set is one list of all its numbers, which are read where they lie: a batch takes no more than its bytes."""
+    def sets(column):
+        bounds, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        return (flat[i:j].reshape(-1, d) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+
     def run(batches):
-        for pdf in batches:
-            hit = [kernels.closer_than(np.array(p.tolist()), np.array(q.tolist()), eps2) for p, q in zip(pdf["ax"], pdf["bx"])]
-            yield pdf.loc[hit, ["a", "b"]]
+        for batch in batches:
+            hit = [kernels.closer_than(p, q, eps2) for p, q in zip(sets(batch.column("ax")), sets(batch.column("bx")))]
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
     return run
 
 
@@ -125,10 +131,10 @@ def _linked_cells(dense: DataFrame, points: DataFrame, side: float, eps2: float,
         near = open_.where(few)
         used = near.select(F.col("a").alias("node"), F.col("asub").alias("sub")).union(near.select("b", "bsub")).distinct()
         same = F.col("l.node").eqNullSafe(F.col("r.node")) & F.col("l.sub").eqNullSafe(F.col("r.sub"))
-        sets = subs.alias("l").join(used.alias("r"), same, "left_semi").groupBy("node", "sub").agg(F.collect_list("x").alias("x"))
+        sets = subs.alias("l").join(used.alias("r"), same, "left_semi").groupBy("node", "sub").agg(F.flatten(F.collect_list("x")).alias("x"))
         of = lambda p: sets.select(F.col("node").alias(f"{p}node"), F.col("sub").alias(f"{p}key"), F.col("x").alias(f"{p}x"))
         on = lambda p: (F.col(p) == F.col(f"{p}node")) & F.col(f"{p}sub").eqNullSafe(F.col(f"{p}key"))
-        met = near.join(of("a"), on("a")).join(of("b"), on("b")).select("a", "b", "ax", "bx").mapInPandas(_touch(eps2), "a long, b long")
+        met = near.join(of("a"), on("a")).join(of("b"), on("b")).select("a", "b", "ax", "bx").mapInArrow(_touch(eps2, d), "a long, b long")
         hit = cut(hit.unionByName(met).distinct())
         found = hit if found is None else found.unionByName(hit)
         open_ = cut(open_.where(~few).join(hit, ["a", "b"], "left_anti"))

@@ -4,6 +4,7 @@ import itertools
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,24 @@ def test_cells_far_finer_than_any_level(spark, leaf):
         assert n == clusters
 
 
+def test_point_sets_take_no_more_than_their_bytes():
+    """Pairs of large sets come many to a batch, whose points are never objects of their own."""
+    import tracemalloc
+    g = np.random.default_rng(0)
+    sets = [g.random((2000, 2)) + [3 * (k % 2), 0] for k in range(60)]
+    flat = pa.array([x.ravel() for x in sets], pa.list_(pa.float64()))
+    ids = pa.array(range(60), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, flat, flat], ["a", "b", "ax", "bx"])
+    for part, want in ((batch, list(range(60))), (batch.slice(7, 5), list(range(7, 12)))):
+        tracemalloc.start()
+        got = [x for b in cluster._touch(0.0, 2)(iter([part])) for x in b.column("a").to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == want and peak < batch.nbytes / 2
+    apart = pa.RecordBatch.from_arrays([ids[:59], ids[1:], flat[:59], flat[1:]], ["a", "b", "ax", "bx"])
+    assert [b.num_rows for b in cluster._touch(0.01, 2)(iter([apart]))] == [0]
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     chain = [(i, i + 1) for i in range(40)]
