@@ -72,6 +72,15 @@ def test_words_of_any_length():
     assert sum(a.nbytes for pair in tokens.powers() for a in pair) < 5 << 20
 
 
+def test_distinct_hashes():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 5000):
+        h = rng.integers(0, 1 << 64, n, np.uint64) >> np.uint64(52)
+        kept = h.copy()
+        assert np.array_equal(scoring.distinct(h), sorted(set(h.tolist()))) and scoring.distinct(h).dtype == np.uint64
+        assert np.array_equal(h, kept)
+
+
 def test_the_registered_automaton_has_order_3(spark, docs, words):
     table = [(r.doc_id, r.text) for r in docs.collect()]
     got = sorted((r.doc_id, r.score) for r in queries.QUERIES["op1_backoff_scores"](spark, "/root/testdata/sf0.001").collect())
