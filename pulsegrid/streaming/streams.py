@@ -34,12 +34,18 @@ BATCH = 256 << 20
 def events_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_trigger: int | None = None) -> DataFrame:
     """The event files of a folder as a stream, with a zoned timestamp for watermarks.
 
-    A batch takes ``files_per_trigger`` files, or else as many whole files as :data:`BATCH` bytes hold, so
-    that a long backlog does not become one batch."""
+    ``glob`` is the name of the table in the folder, one file or a folder of part files, or a pattern for
+    names of files.  A batch takes ``files_per_trigger`` files, or else as many whole files as :data:`BATCH`
+    bytes hold, so that a long backlog does not become one batch."""
     schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    r = spark.readStream.schema(schema)
     r = r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r.option("maxBytesPerTrigger", BATCH)
-    return r.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    if set(glob) & set("*?[{"):
+        events = r.option("pathGlobFilter", glob).parquet(folder)
+    else:
+        # a plain path of a stream must be a folder, what a pattern matches may be a file as well
+        events = r.parquet(f"{folder}/{{{glob}}}")
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 _starting = threading.Lock()

@@ -243,6 +243,39 @@ def test_a_backlog_is_taken_in_batches_of_bounded_bytes(spark, tmp_path, monkeyp
     assert spark.read.parquet(f"{tmp_path}/out").count() == 90
 
 
+EVENTS = ("id AS event_id", "timestamp_ntz'2025-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 20 * id) AS ts", "id % 3 AS user_id",
+          "if(id % 7 < 3, 'view', 'click') AS event_type", "double(id * id * 37 % 211) AS value", "'{}' AS props")
+
+
+def test_the_event_table_may_be_one_file(spark, tmp_path, rows):
+    """Other tables beside it are no part of the stream."""
+    spark.range(90, numPartitions=1).selectExpr(*EVENTS).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
+    spark.range(5).selectExpr(*EVENTS).write.parquet(f"{tmp_path}/other.parquet")
+    assert rows(St.run_append(St.events_stream(spark, str(tmp_path)).select("event_id"))) == sorted([(i,) for i in range(90)], key=repr)
+
+
+@pytest.mark.parametrize("name", ["t06_alert_lifecycle", "t07_rate_limit", "t11_group_alerts", "t12_breaker_states", "t13_recovery_state",
+                                  "t14_bounded_history"])
+def test_keyed_streams_over_a_folder_of_part_files(spark, tmp_path, rows, name):
+    """A large table is a folder of files; the session has Spark's own state store."""
+    import duckdb
+
+    from pulsegrid.plans import ORACLES, QUERIES
+    from pulsegrid.session import PROVIDER
+    spark.range(300, numPartitions=3).selectExpr(*EVENTS).write.parquet(f"{tmp_path}/events.parquet")
+    own = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        got = QUERIES[name](spark, str(tmp_path))
+    finally:
+        spark.conf.set(PROVIDER, own)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert rows(got) == sorted(want, key=repr) and want
+
+
 @pytest.mark.parametrize("limit", [None, 40])
 def test_history_of_a_whole_metric(spark, data, rows, limit):
     """The last rows of a key are carried from batch to batch; a crowded key is cut up in each."""
