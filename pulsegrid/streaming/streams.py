@@ -43,7 +43,9 @@ def events_stream(spark: SparkSession, folder: str, glob: str = "events.parquet"
     if set(glob) & set("*?[{"):
         events = r.option("pathGlobFilter", glob).parquet(folder)
     else:
-        # a plain path of a stream must be a folder, what a pattern matches may be a file as well
+        # a plain path of a stream must be a folder, what a pattern matches may be a file as well; but a pattern
+        # without a match is no error, so the folder is looked at here
+        spark.read.schema(schema).options(pathGlobFilter=glob, recursiveFileLookup=True).parquet(folder)
         events = r.parquet(f"{folder}/{{{glob}}}")
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pulsegrid.streaming import steps, streams as St
@@ -253,6 +254,8 @@ def test_the_event_table_may_be_one_file(spark, tmp_path, rows):
     next((tmp_path / "made").glob("part-*")).rename(tmp_path / "events.parquet")
     spark.range(5).selectExpr(*EVENTS).write.parquet(f"{tmp_path}/other.parquet")
     assert rows(St.run_append(St.events_stream(spark, str(tmp_path)).select("event_id"))) == sorted([(i,) for i in range(90)], key=repr)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        St.events_stream(spark, f"{tmp_path}/none")
 
 
 @pytest.mark.parametrize("name", ["t06_alert_lifecycle", "t07_rate_limit", "t11_group_alerts", "t12_breaker_states", "t13_recovery_state",
