@@ -7,12 +7,16 @@ prefix of two words, so that neither a frequent language nor a frequent first wo
 place, and a range's transducers are united, weights added, a few at a time.  What a phrase's parts
 count is found by composing the transducer of a range with the acceptor of the parts asked of it.
 
-With more ranges than ``FAN`` a block's paths reach theirs in several steps, so that messages stay
-large and their number in proportion to the corpus.
+With more ranges than ``FAN`` a block's paths go to as many coarse ones, so that messages stay large
+and their number in proportion to the corpus; a coarse range's task deals them on to its finer ranges
+by itself, out of memory, and unites those one by one.  Beyond ``WITHIN`` finer ranges in a coarse one
+there are several exchanges, of which the first has ``FAN`` ranges already.
 """
 
 from __future__ import annotations
 
+import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,8 +29,9 @@ from pulsegrid.llm.scoring import dump, gaps, undump
 from pulsegrid.llm.tokens import LOWER, U, chain, mix
 from pulsegrid.session import cut
 
-#: Words of a block, and of a range's share of all words; paths united at once; ranges dealt to in one step.
-BLOCK, SHARE, AT_ONCE, FAN = 1_000_000, 1_000_000, 1_500_000, 512
+#: Words of a block, and of a range's share of all words; paths united at once; ranges dealt to in one step,
+#: and by a task to itself; bytes of messages that such a task keeps in memory.
+BLOCK, SHARE, AT_ONCE, FAN, WITHIN, KEPT = 1_000_000, 1_000_000, 1_500_000, 512, 64, 32 << 20
 BETWEEN = np.zeros(256, bool)  # between words
 BETWEEN[[9, 32]] = True
 BREAK = np.zeros(256, bool)  # between pieces
@@ -143,14 +148,7 @@ class Transducer:
         """One transducer with all paths, weights added."""
         if len(some) == 1:
             return some[0]
-        symbols = np.unique(np.concatenate([t.symbols for t in some]))
-        paths, weights = [], []
-        for t in some:
-            p, w = t.paths()
-            at = np.searchsorted(symbols, t.symbols).astype(np.int32)
-            paths.append([at[x] for x in p])
-            weights.append(w)
-        return cls.of(symbols, [np.concatenate(x) for x in zip(*paths)], [np.concatenate(x) for x in zip(*weights)])
+        return cls.of(*joined([(t.symbols, *t.paths()) for t in some]))
 
     def size(self) -> int:
         return sum(len(label) for _, label, _, _ in self.levels)
@@ -172,6 +170,23 @@ class Transducer:
         return cls(np.cumsum(arrays[0], dtype=U), levels)
 
 
+def joined(some: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Symbols, and paths and weights by length, of all of some one after the other."""
+    symbols = np.unique(np.concatenate([x for x, _, _ in some]))
+    at = [np.searchsorted(symbols, x).astype(np.int32) for x, _, _ in some]
+    paths = [np.concatenate(x) for x in zip(*[[place[p] for p in paths] for place, (_, paths, _) in zip(at, some)])]
+    return symbols, paths, [np.concatenate(x) for x in zip(*[w for _, _, w in some])]
+
+
+def by_range(paths: list[np.ndarray], symbols: np.ndarray, ranges: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The ranges that have any of the paths, and which, by length."""
+    where = route(paths, symbols, ranges)
+    order = [np.argsort(w, kind="stable") for w in where]
+    bounds = [np.searchsorted(w[o], np.arange(ranges + 1)) for w, o in zip(where, order)]
+    for k in np.flatnonzero(sum(np.diff(b) for b in bounds)).tolist():
+        yield k, [o[b[k]:b[k + 1]] for o, b in zip(order, bounds)]
+
+
 def route(paths: list[np.ndarray], symbols: np.ndarray, ranges: int) -> list[np.ndarray]:
     """The range of each path: of the hash of its language and first two words, or of what it has of them."""
     out = []
@@ -184,13 +199,7 @@ def route(paths: list[np.ndarray], symbols: np.ndarray, ranges: int) -> list[np.
 def dealt(t: Transducer, names: dict, ranges: int) -> Iterator[tuple[int, bytes]]:
     """A transducer cut into those of ranges, each with the names of the languages and words counted in it."""
     paths, weights = t.paths()
-    where = route(paths, t.symbols, ranges)
-    order = [np.argsort(w, kind="stable") for w in where]
-    bounds = [np.searchsorted(w[o], np.arange(ranges + 1)) for w, o in zip(where, order)]
-    for k in range(ranges):
-        some = [o[b[k]:b[k + 1]] for o, b in zip(order, bounds)]
-        if not any(map(len, some)):
-            continue
+    for k, some in by_range(paths, t.symbols, ranges):
         rows = [p[s] for p, s in zip(paths, some)]
         used = np.unique(np.concatenate([r.reshape(-1) for r in rows]))
         part = Transducer.of(t.symbols[used], [np.searchsorted(used, r).astype(np.int32) for r in rows],
@@ -327,10 +336,68 @@ def _finer(ranges: int, at_once: int):
     return run
 
 
-def _counts(least: int, at_once: int):
-    """path, f and name: the counts of a range that are at least ``least``, and those of whole languages."""
+def _divided(rows: Iterator[pa.RecordBatch], ranges: int, at_once: int) -> Iterator[tuple[int, Transducer, dict]]:
+    """Transducers of ranges from messages for coarse ones, in order of those.  All of a path comes to one
+    coarse range, so that a range which two of them share may come in two pieces."""
+    now, names, held, size, places = None, {}, [], 0, defaultdict(list)
+    with tempfile.SpooledTemporaryFile(max_size=KEPT) as kept:
+        def put(arrays: list[np.ndarray]) -> tuple[int, int]:
+            kept.write(payload := dump(arrays))
+            return kept.tell() - len(payload), len(payload)
+
+        def get(place: tuple[int, int]) -> list[np.ndarray]:
+            kept.seek(place[0])
+            return undump(kept.read(place[1]))
+
+        def deal():
+            symbols, paths, weights = joined(held)
+            held.clear()
+            table = put([gaps(symbols)])
+            for k, some in by_range(paths, symbols, ranges):
+                places[k].append((table, put([x for p, w, s in zip(paths, weights, some) for x in (p[s].reshape(-1), w[s])])))
+
+        def done() -> Iterator[tuple[int, Transducer, dict]]:
+            if held and not places:  # not dealt if there is little
+                yield now, Transducer.of(*joined(held)), names
+            elif held:
+                deal()
+            held.clear()
+            for k, some in places.items():
+                found, n = [], 0
+                for table, place in some:
+                    arrays = get(place)
+                    paths = [x.reshape(-1, d + 1) for d, x in enumerate(arrays[::2])]
+                    used = np.unique(np.concatenate(arrays[::2]))
+                    found.append((np.cumsum(get(table)[0], dtype=U)[used], [np.searchsorted(used, p) for p in paths], arrays[1::2]))
+                    n += sum(map(len, paths))
+                    if n >= at_once and len(found) > 1:
+                        t = Transducer.of(*joined(found))
+                        found, n = [(t.symbols, *t.paths())], t.size() // 2
+                yield k, Transducer.of(*joined(found)), names
+            places.clear()
+            kept.seek(0)
+            kept.truncate()
+
+        for batch in rows:
+            for k, payload in zip(batch.column("range").to_pylist(), batch.column("payload")):
+                if k != now:
+                    yield from done()
+                    now, names, size = k, {}, 0
+                t, known = undealt(payload.as_py())
+                names.update(known)
+                held.append((t.symbols, *t.paths()))
+                size += t.size()
+                if size >= at_once:
+                    deal()
+                    size = 0
+        yield from done()
+
+
+def _counts(least: int, at_once: int, ranges: int | None = None):
+    """path, f and name: the counts of a range that are at least ``least``, and those of whole languages.
+    ``ranges`` are those that the messages' own are divided into."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t, names in _united(batches, at_once, True):
+        for _, t, names in _divided(batches, ranges, at_once) if ranges else _united(batches, at_once, True):
             paths, weights = t.paths()
             for d, (p, w) in enumerate(zip(paths, weights)):
                 on = np.flatnonzero((w >= least) | (d == 0))
@@ -345,23 +412,31 @@ def _counts(least: int, at_once: int):
     return run
 
 
+def steps_to(ranges: int, fan: int, within: int) -> list[int]:
+    """Ranges of the exchanges on the way to so many; the last may leave up to ``within`` in one of its own."""
+    last = max(min(ranges, fan), -(-ranges // within))
+    steps, n = [], max(fan, 2)
+    while n < last:
+        steps.append(n)
+        n *= max(fan, 2)
+    return [*steps, last]
+
+
 def counts(docs: DataFrame, most: int = 3, least: int = 10, block: int = BLOCK, share: int = SHARE,
-           at_once: int = AT_ONCE, fan: int = FAN) -> DataFrame:
+           at_once: int = AT_ONCE, fan: int = FAN, within: int = WITHIN) -> DataFrame:
     """path (hashes of the language and of up to ``most`` words), f and name (of the path's last symbol,
     for paths of at most one word) of all that occurs ``least`` times, and of each language."""
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(shuffles, -(-size // (6 * share)))  # words have some six bytes
-    steps = [ranges]
-    while steps[0] > fan:
-        steps.insert(0, -(-steps[0] // fan))
+    steps = steps_to(ranges, fan, within)
     frame = docs.select("lang", "text").mapInArrow(_blocks(most, steps[0], block), "range int, payload binary")
     for n, finer in zip(steps, steps[1:]):
         frame = frame.repartition(n, "range").sortWithinPartitions("range").mapInArrow(
             _finer(finer, at_once), "range int, payload binary")
-    return (frame.repartition(ranges, "range").sortWithinPartitions("range")
-            .mapInArrow(_counts(least, at_once), "path array<long>, f long, name string"))
+    return (frame.repartition(steps[-1], "range").sortWithinPartitions("range")
+            .mapInArrow(_counts(least, at_once, ranges if steps[-1] < ranges else None), "path array<long>, f long, name string"))
 
 
 def parts(known: DataFrame, asked: DataFrame, most: int, ranges: int) -> DataFrame:

@@ -59,6 +59,18 @@ def test_any_sizes(spark, docs, sizes):
     assert mined(some, least=4, top=100, **sizes) == brute(given(some), least=4, top=100)
 
 
+def test_exchanges_on_the_way_to_many_ranges(spark, docs):
+    """An exchange has as many ranges as one step deals to, however many more there are in the end; several exchanges, and ranges cut up in tasks."""
+    frame = phrases.counts(docs, share=2, fan=64)._jdf.queryExecution().analyzed().toString()
+    exchanged = [int(x) for x in re.findall(r"RepartitionByExpression \[range#\d+\], (\d+)", frame)]
+    assert exchanged and min(exchanged) >= 64
+    some = docs.orderBy("doc_id").limit(40)
+    for sizes in (dict(block=700, share=300, at_once=400, fan=3, within=2), dict(block=900, share=150, at_once=300, fan=4, within=50)):
+        assert mined(some, least=4, top=100, **sizes) == brute(given(some), least=4, top=100)
+    assert phrases.steps_to(1720, 512, 64) == [512] and phrases.steps_to(143, 512, 64) == [143]
+    assert phrases.steps_to(300_000, 512, 64) == [512, 4688]
+
+
 def test_longer_phrases(docs):
     some = docs.orderBy("doc_id").limit(80)
     assert mined(some, most=5, least=5, top=300) == brute(given(some), most=5, least=5, top=300)
