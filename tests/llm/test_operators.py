@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pulsegrid import scale
 from pulsegrid.llm import decontam, jaccard, packing, pii, quality, queries, scoring, shards, tokens, toxicity, urls, wavelet
 
 WORDS_FILE, BYTES_FILE = queries.tokenizer_file("word_bpe_49k.json"), queries.tokenizer_file("byte_bpe_50k.json")
@@ -258,6 +259,31 @@ def test_join(spark, docs, odd, empty, words, settings):
     assert jaccard.join(odd).count() == odd.count() and jaccard.join(empty).count() == 0
 
 
+def test_join_plan_follows_documents(spark, monkeypatch):
+    """A group of many chunks: the plan has a row or two a document, and is not broadcast where it has too many."""
+    plans, written = [], []
+
+    def few(df, **more):
+        plans.append(df)
+        return scale.small(df, 10, **more)
+
+    def kept(df):
+        written.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    cut = jaccard.cut
+    monkeypatch.setattr(jaccard, "small", few)
+    monkeypatch.setattr(jaccard, "cut", kept)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i // 2 * 9, i // 2 * 9 + 12 + i % 2))) for i in range(40)], "doc_id long, text string")
+    large = jaccard.cut(spark.createDataFrame([(i, 7, 300) for i in range(40)], "doc_id long, part long, chunks long"))
+    links = spark.createDataFrame([(0, 2), (2, 4), (4, 6)], "a long, b long")
+    found = {(min(r), max(r)) for r in jaccard._rest(docs, large, links, 85, 4).collect()}
+    # what the largest component has among itself is left to the chunks
+    assert found == {(i, i + 1) for i in range(0, 40, 2)}
+    assert plans[-1].count() <= 2 * docs.count()
+    assert "SortMergeJoin" in written[-1] and "BroadcastHashJoin" not in written[-1]
+
+
 def test_join_keeps_one_of_each(odd, words):
     kept = jaccard.keep(odd)
     assert kept.columns == odd.columns
